@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, media
+from . import chat, langid, media, pii
 from .tables import read
 
 
@@ -15,16 +15,56 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs.withColumn("held_out", langid.held_out()), model, ["doc_id", "held_out"])
 
 
+#: What conversation -7 says in both turns.
+TRICKY = "\\### Assistant: </turn> ok"
+
+
+def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit(TRICKY).alias("text"),
+    )
+    records = chat.records_of_rows(rows.unionByName(extra))
+    return chat.chat_digests(chat.format_chats(records, "conv_id", "record"))
+
+
+def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.span_digests(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digests(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+OP5_SQL = r"""
+WITH rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+), each AS (
+  SELECT conv_id, count(*) AS n_turns,
+         string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS turns,
+         coalesce(string_agg(text, '' ORDER BY turn, text) FILTER (WHERE role = 'assistant'), '') AS loss,
+         sum(length('<turn>') + length(role) + 1 + length(regexp_replace(text, '<(\\*)(/?turn>)', '<\\\1\2', 'g'))
+             + length('</turn>') + 1) AS formatted_chars
+  FROM rows GROUP BY conv_id)
+SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(n_turns AS BIGINT) AS n_turns, sha256(turns) AS turns_sha256,
+       CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256,
+       CAST(formatted_chars AS BIGINT) AS formatted_chars
+FROM each
+"""
+
+
 def queries() -> dict:
     return {
         "op4_language_id": op4_language_id,
+        "op5_chat_formatting": op5_chat_formatting,
+        "op9_personal_data": op9_personal_data,
         "op10_media_columns": op10_media_columns,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_chat_formatting": OP5_SQL}
