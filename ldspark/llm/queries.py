@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, langid, media, pii
+from . import chat, langid, media, packing, pii
 from .tables import read
 
 
@@ -31,6 +31,10 @@ def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_digests(chat.format_chats(records, "conv_id", "record"))
 
 
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(packing.cut_pieces(read(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.span_digests(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -61,6 +65,7 @@ def queries() -> dict:
     return {
         "op4_language_id": op4_language_id,
         "op5_chat_formatting": op5_chat_formatting,
+        "op6_best_fit_packing": op6_best_fit_packing,
         "op9_personal_data": op9_personal_data,
         "op10_media_columns": op10_media_columns,
     }
