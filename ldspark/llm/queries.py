@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, langid, media, packing, pii
+from . import chat, langid, media, packing, pii, ppm
 from .tables import read
 
 
@@ -35,6 +35,10 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.cut_pieces(read(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.score(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.span_digests(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -66,6 +70,7 @@ def queries() -> dict:
         "op4_language_id": op4_language_id,
         "op5_chat_formatting": op5_chat_formatting,
         "op6_best_fit_packing": op6_best_fit_packing,
+        "op7_lm_scoring": op7_lm_scoring,
         "op9_personal_data": op9_personal_data,
         "op10_media_columns": op10_media_columns,
     }
