@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, langid, media, packing, pii, ppm
+from . import chat, decontam, langid, media, packing, pii, ppm
 from .tables import read
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find_leaks(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "benchmark"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = langid.fit(docs.filter(~langid.held_out()))
@@ -67,6 +71,7 @@ FROM each
 
 def queries() -> dict:
     return {
+        "op2_decontamination": op2_decontamination,
         "op4_language_id": op4_language_id,
         "op5_chat_formatting": op5_chat_formatting,
         "op6_best_fit_packing": op6_best_fit_packing,
