@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, langid, linededup, media, packing, pii, ppm
+from . import chat, decontam, langid, linededup, media, neardup, packing, pii, ppm
 from .tables import read
 
 
@@ -47,6 +47,10 @@ def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm.score(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.classes(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.span_digests(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -81,6 +85,7 @@ def queries() -> dict:
         "op5_chat_formatting": op5_chat_formatting,
         "op6_best_fit_packing": op6_best_fit_packing,
         "op7_lm_scoring": op7_lm_scoring,
+        "op8_near_dedup": op8_near_dedup,
         "op9_personal_data": op9_personal_data,
         "op10_media_columns": op10_media_columns,
     }
