@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -58,6 +59,10 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _SCRATCH.setdefault(spark.sparkContext.applicationId, []).append(path)
+    # the shuffles behind the table are done with; executors delete their files when the driver's
+    # garbage collector finds that, which it may otherwise do only much later
+    gc.collect()
+    spark._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
