@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter, defaultdict
-from itertools import combinations, repeat
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .tables import map_batches
+from .words import shingle_hashes, word_hashes
 
 SHINGLE, SIMILARITY = 5, 0.8
 BITS, BLOCKS, RADIUS = 64, 8, 23
@@ -35,7 +36,8 @@ BLOCK_CHARS = 16_000_000
 #: Window starts that get fingerprints at once.
 WINDOWS = 4096
 
-_WORD = re.compile(r"\w+")
+#: Words as in words.py, so that both count alike.
+_WORD = re.compile("[0-9a-z\x80-\U0010ffff]+")
 
 
 def words_of(text: str | None) -> list[str]:
@@ -104,57 +106,48 @@ class Matcher:
         for item, text in items:
             if words := words_of(text):
                 by_size[len(words)].append((item, words))
-        self.vocabulary: dict[str, int] = {}
         self.sizes: dict[int, tuple[list, list[Counter], HammingIndex]] = {}
-        seeds: dict[tuple[int, ...], set[int]] = defaultdict(set)
+        seeds: dict[int, dict[int, set[int]]] = defaultdict(lambda: defaultdict(set))
         for size, group in by_size.items():
             counts = [Counter(shingles(w)) for _, w in group]
             prints = np.array([fingerprints(sum(signed(s) * n for s, n in c.items())) for c in counts])
             self.sizes[size] = ([i for i, _ in group], counts, HammingIndex(prints))
-            for c in counts:
-                for s in c:
-                    seeds[tuple(self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in s)].add(size)
-        self.seeds = dict(seeds)
-        self.short = min(map(len, self.seeds), default=SHINGLE)
-        full = [s for s in self.seeds if len(s) == SHINGLE]
-        self.codes = np.unique(self._codes(np.array(full, np.uint64).T)) if full else np.empty(0, np.uint64)
-
-    @staticmethod
-    def _codes(columns) -> np.ndarray:
-        out = np.zeros(len(columns[0]), np.uint64)
-        for c in columns:
-            out = (out ^ c) * np.uint64(0x9E3779B97F4A7C15)
-            out ^= out >> np.uint64(29)
+            width = min(size, SHINGLE)
+            for _, w in group:
+                for h in shingle_hashes(word_hashes(" ".join(w)), width).tolist():
+                    seeds[width][h].add(size)
+        #: For each width of shingles the items' hashes in order, the sizes of their items, and which first
+        #: 16 bits occur, which spares most look-ups.
+        self.seeds = {}
+        for width, found in seeds.items():
+            codes = np.array(sorted(found), np.uint64)
+            first = np.zeros(1 << 16, bool)
+            first[codes >> np.uint64(48)] = True
+            self.seeds[width] = codes, [found[c] for c in codes.tolist()], first
+
+    def _seeded(self, hashes: np.ndarray) -> dict[int, list[int]]:
+        """For each item size the places among the words' hashes where a shingle of such an item begins."""
+        out: dict[int, list[int]] = defaultdict(list)
+        for width, (codes, sizes, first) in self.seeds.items():
+            if len(hashes) < width:
+                continue
+            h = shingle_hashes(hashes, width)
+            places = np.flatnonzero(first[h >> np.uint64(48)])
+            if len(places):
+                at = np.minimum(np.searchsorted(codes, h[places]), len(codes) - 1)
+                hit = codes[at] == h[places]
+                for place, k in zip(places[hit].tolist(), at[hit].tolist(), strict=True):
+                    for size in sizes[k]:
+                        out[size].append(place)
         return out
 
-    def _seeded(self, words: list[str]) -> dict[int, list[int]]:
-        """For each item size the places in words where a shingle of such an item begins."""
-        ids = np.fromiter(map(self.vocabulary.get, words, repeat(0)), np.uint64, len(words))
-        found: dict[int, list[int]] = defaultdict(list)
-        n = len(ids) - SHINGLE + 1
-        if n > 0 and len(self.codes):
-            known = ids > 0
-            all_known = np.flatnonzero(np.logical_and.reduce([known[k : k + n] for k in range(SHINGLE)]))
-            if len(all_known):
-                codes = self._codes([ids[all_known + k] for k in range(SHINGLE)])
-                for at in all_known[np.isin(codes, self.codes)].tolist():
-                    for size in self.seeds.get(tuple(ids[at : at + SHINGLE].tolist()), ()):
-                        found[size].append(at)
-        for length in range(self.short, SHINGLE):  # items of fewer words than a shingle
-            for at in range(len(ids) - length + 1):
-                for size in self.seeds.get(tuple(ids[at : at + length].tolist()), ()):
-                    found[size].append(at)
-        if 0 < len(ids) < SHINGLE:
-            for size in self.seeds.get(tuple(ids.tolist()), ()):
-                found[size].append(0)
-        return found
-
     def matches(self, text: str | None) -> list[tuple[int, float, int, int, int]]:
         """(item, similarity, first word, words, distance) of each item's best window, by item; ties go to
         the first window. Empty for null or empty text."""
-        words = words_of(text)
         best: dict[int, tuple[float, int, int, int]] = {}
-        for size, places in self._seeded(words).items():
+        found = self._seeded(word_hashes(text))
+        words = words_of(text) if found else []
+        for size, places in found.items():
             items, counts, index = self.sizes[size]
             last = max(0, len(words) - size)
             starts = np.unique(np.clip(np.concatenate([np.arange(p - size + 1, p + 1) for p in np.unique(places)]), 0, last))
