@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..config import LdConfig
 from ..operators import accuracy, aggregates, blocks, ehh, hw, pairs, rebin, regions, sites
+from ..session import ship
 from ..sources import mappings
 
 MAX_DIST, MAF = 20_000, 0.05
@@ -293,7 +294,10 @@ QUERIES = (
 
 
 def queries() -> dict:
-    return {q.__name__: q for q in QUERIES}
+    def shipped(query):
+        return lambda spark, sf_dir: query(ship(spark), sf_dir)
+
+    return {q.__name__: shipped(q) for q in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
