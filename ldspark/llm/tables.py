@@ -2,33 +2,25 @@
 
 from __future__ import annotations
 
-import atexit
 import gc
-import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 #: Rows and bytes of one Arrow batch given to Python; a batch of very long texts stays small.
 BATCH_ROWS, BATCH_BYTES = 500, 8 << 20
 _SCRATCH: dict[str, list[str]] = {}
-_SHIPPED: set[str] = set()
 
 
 def prepare(spark: SparkSession) -> SparkSession:
     """Bound what one Python batch holds, and ship this package to the executors (once an application)."""
-    context = spark.sparkContext
-    if context.applicationId not in _SHIPPED:
-        _SHIPPED.add(context.applicationId)
-        package = Path(__file__).resolve().parents[1]
-        folder = tempfile.mkdtemp(prefix="ldspark-")  # executors fetch it when they start
-        atexit.register(shutil.rmtree, folder, True)
-        context.addPyFile(shutil.make_archive(f"{folder}/{package.name}-{uuid.uuid4().hex}", "zip", package.parent, package.name))
+    ship(spark)
     for key, limit in (
         ("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS),
         ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES),
