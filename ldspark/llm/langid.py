@@ -171,8 +171,8 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") ->
     return Model(langs, slices)
 
 
-def identify(df: DataFrame, model: Model, keep: list[str] = ()) -> DataFrame:
-    """df's columns `keep` with lang_pred and score for its column text. Null or letterless text gives
+def identify(df: DataFrame, model: Model, keep: list[str] = (), names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """df's columns `keep` with language and score, under `names`, for its column text. Null or letterless text gives
     ('und', 0). Rows are independent; an empty table gives an empty one. The model, at most 32 MB by
     its parameters, is broadcast."""
     sent = df.sparkSession.sparkContext.broadcast((model.langs, model.slices))
@@ -186,12 +186,12 @@ def identify(df: DataFrame, model: Model, keep: list[str] = ()) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [batch.column(i) for i in range(batch.num_columns - 1)]
                 + [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())],
-                [*batch.schema.names[:-1], "lang_pred", "score"],
+                [*batch.schema.names[:-1], *names],
             )
 
         return one
 
-    schema = kept.add("lang_pred", "string").add("score", "double")
+    schema = kept.add(names[0], "string").add(names[1], "double")
     return map_batches(df.select(*keep, F.col("text").cast("string").alias("__text")), make, schema)
 
 

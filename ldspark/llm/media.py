@@ -75,7 +75,7 @@ def band_peaks(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fingerprint(samples: np.ndarray) -> np.ndarray:
-    """Codes of all peak pairs, in order of time. Empty for silence."""
+    """Codes of all peak pairs, in order of time. Empty for silence (samples of 128)."""
     bins, mags = band_peaks(samples)
     before = np.vstack([np.zeros((1, len(BANDS)), np.float32), mags[:-1]])
     after = np.vstack([mags[1:], np.zeros((1, len(BANDS)), np.float32)])
@@ -100,7 +100,7 @@ SCHEMA = (
 def media_columns(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, media (the WAV file's bytes) and fingerprint (array of time-coded pairs) of each row.
 
-    Null or empty text gives BLOCK silent samples and an empty array. Rows are independent: repeated
+    Null or empty text gives BLOCK samples of 0. Rows are independent: repeated
     rows give repeated results, an empty table an empty one; other columns are left out."""
 
     def make():

@@ -297,10 +297,15 @@ def classes(docs: DataFrame) -> DataFrame:
     # the class is the root if the words have one, else the words; without words, the row itself
     alone = F.col("total") == 0
     rows = rows.select("doc_id", "k1", "k2", "total", F.when(alone, F.monotonically_increasing_id()).alias("own")).join(named, ["k1", "k2"], "left")
-    group = F.struct(F.col("own"), F.when(~alone, F.col("root")).alias("root"), F.when(~alone & F.col("root").isNull(), F.struct("k1", "k2")).alias("key"))
-    keyed = written(rows.select("doc_id", F.xxhash64(group).alias("g1"), F.hash(group).alias("g2"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "near-rows")
-    sizes = keyed.groupBy("g1", "g2").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
-    return keyed.join(sizes, ["g1", "g2"]).select("doc_id", "class_id", "class_size", "n_links", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("representative"))
+    zero = F.lit(0).cast("long")
+    group = (
+        F.when(alone, F.struct(F.lit(0).alias("kind"), F.col("own").alias("a"), zero.alias("b")))
+        .when(F.col("root").isNotNull(), F.struct(F.lit(1).alias("kind"), F.col("root").alias("a"), zero.alias("b")))
+        .otherwise(F.struct(F.lit(2).alias("kind"), F.col("k1").alias("a"), F.col("k2").alias("b")))
+    )
+    keyed = written(rows.select("doc_id", group.alias("g"), F.coalesce("n_links", F.lit(0)).alias("n_links")).select("doc_id", "g.*", "n_links"), "near-rows")
+    sizes = keyed.groupBy("kind", "a", "b").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
+    return keyed.join(sizes, ["kind", "a", "b"]).select("doc_id", "class_id", "class_size", "n_links", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("representative"))
 
 
 def _bands(node: DataFrame) -> DataFrame:
