@@ -10,7 +10,8 @@ from .tables import read
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linededup.line_counts(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    rows = linededup.line_counts(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.withColumn("removed", F.array_join(F.col("removed").cast("array<string>"), ","))
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,6 +64,24 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digests(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+OP1_SQL = r"""
+WITH doc AS (SELECT doc_id, string_split(text, chr(10)) AS all_lines FROM documents),
+line AS (SELECT doc_id, unnest(all_lines) AS line, unnest(range(len(all_lines))) AS k FROM doc),
+word AS (SELECT doc_id, k, line, list_filter(string_split_regex(lower(line), '[\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+'), lambda x: x <> '') AS w FROM line),
+own AS (SELECT doc_id, k, line, list_distinct(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i:i + 4], ' '))) AS tokens
+  FROM word WHERE len(w) > 0),
+class AS (SELECT *, row_number() OVER (ORDER BY doc_id, k) AS c, len(tokens) AS n FROM own QUALIFY row_number() OVER (PARTITION BY line ORDER BY doc_id, k) = 1),
+tok AS (SELECT c, n, doc_id, unnest(tokens) AS t FROM class),
+link AS (SELECT a.c AS early, b.c AS late, a.doc_id AS ed, b.doc_id AS ld FROM tok a JOIN tok b ON a.t = b.t AND a.c < b.c
+  GROUP BY a.c, b.c, a.doc_id, b.doc_id, a.n, b.n HAVING 5 * count(*) >= 4 * (a.n + b.n - count(*))),
+gone AS (SELECT o.doc_id, o.k FROM own o LEFT JOIN class c ON o.doc_id = c.doc_id AND o.k = c.k WHERE c.c IS NULL OR c.c IN (SELECT late FROM link)),
+cut AS (SELECT doc_id, count(*) AS n, string_agg(k::VARCHAR, ',' ORDER BY k) AS removed FROM gone GROUP BY doc_id),
+ends AS (SELECT doc_id, count(*) AS n FROM (SELECT ed AS doc_id FROM link UNION ALL SELECT ld FROM link) GROUP BY doc_id)
+SELECT d.doc_id, CAST(coalesce(len(all_lines), 0) AS BIGINT) AS n_lines, CAST(coalesce(cut.n, 0) AS BIGINT) AS n_removed,
+  coalesce(removed, '') AS removed, CAST(coalesce(ends.n, 0) AS BIGINT) AS n_links
+FROM doc d LEFT JOIN cut USING (doc_id) LEFT JOIN ends USING (doc_id)
+"""
+
 OP5_SQL = r"""
 WITH rows AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -97,4 +116,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_chat_formatting": OP5_SQL}
+    return {"op1_line_dedup": OP1_SQL, "op5_chat_formatting": OP5_SQL}
