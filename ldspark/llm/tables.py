@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -52,9 +53,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     _SCRATCH.setdefault(spark.sparkContext.applicationId, []).append(path)
     # the shuffles behind the table are done with; executors delete their files when the driver's
-    # garbage collector finds that, which it may otherwise do only much later
+    # garbage collector finds that, which it may otherwise do only much later; it takes two rounds
     gc.collect()
     spark._jvm.System.gc()
+    time.sleep(0.1)
+    spark._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
