@@ -192,8 +192,6 @@ def read_genotype(spark: SparkSession, path: str, cfg: LdConfig, groups: Groups
 #: The file's first bytes, and characters of the two-bit codes (A1 A1, missing, het, A2 A2).
 MAGIC = bytes((0x6C, 0x1B, 0x01))
 _FIRST, _SECOND = np.frombuffer(b"0.01", np.uint8), np.frombuffer(b"0.11", np.uint8)
-#: Variants that a task reads at once.
-CHUNK = 4096
 
 
 def plink_prefix(path: str) -> str:
@@ -219,9 +217,8 @@ def read_plink(spark: SparkSession, path: str, cfg: LdConfig, groups: Groups = (
     """Sites of prefix.bed/.bim/.fam, variant-major. Alleles other than one of ACGT (any case) are indels and
     are skipped before regions; the line kept is the .bim line with cm 0 and upper-case alleles.
 
-    Tasks read ranges of variants from the file, which has to be on a path that executors can open through
-    Hadoop's file system: the fixed-length records are read with binaryRecords on a header-free view, or,
-    where the three bytes at the start prevent that, by the range."""
+    Tasks seek to their variants' records in the .bed file, so it has to be on a path that executors can
+    open (a shared or local file system)."""
     prefix = plink_prefix(path)
     n = len(plink_names(spark, prefix))
     width = -(-n // 4)

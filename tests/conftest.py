@@ -14,7 +14,5 @@ def spark():
         .config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "4g").config("spark.ui.showConsoleProgress", "false").getOrCreate()
     )
     s.sparkContext.setLogLevel("ERROR")
-    root = str(Path(__file__).resolve().parents[1])
-    s.sparkContext._conf.set("spark.executorEnv.PYTHONPATH", root)
     yield s
     s.stop()
