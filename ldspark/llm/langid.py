@@ -13,10 +13,11 @@ the filter's 2**SLOT_BITS slots and at most 64 languages bound everything that i
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .tables import id_crc, map_batches
@@ -152,22 +153,22 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") ->
     rows = labelled.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.col(text_col)).alias("h"), F.col(text_col).alias("text")
     )
-    langs = [r[0] for r in rows.select("lang").distinct().orderBy("lang").limit(MAX_LANGS + 1).collect()]
-    if len(langs) > MAX_LANGS:
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang").limit(MAX_LANGS + 1).collect()}
+    if len(counts) > MAX_LANGS:
         raise ValueError(f"more than {MAX_LANGS} languages")
-    # the hash up to which a language has about SAMPLE_DOCS rows, from its count alone
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    langs = sorted(counts)
     dtype = next(d for d in (np.uint8, np.uint16, np.uint32, np.uint64) if np.iinfo(d).bits >= len(langs))
     slices = np.zeros(1 << SLOT_BITS, dtype)
-    for k, lang in enumerate(langs):
-        cut = int(-(2**63) + 2**64 * min(1.0, 1.5 * SAMPLE_DOCS / counts[lang])) - 1
-        picked = (
-            rows.filter((F.col("lang") == lang) & (F.col("h") <= cut))
-            .select("h", F.substring("text", 1, SAMPLE_CHARS).alias("text"))
-            .orderBy("h", "text").limit(SAMPLE_DOCS).collect()
-        )
-        for s in slots_of(_profiles([r["text"] for r in picked])):
-            slices[s] |= dtype(1 << k)
+    # the hash up to which a language has about half as many rows again as are taken, from its count alone
+    cuts = {lang: int(-(2**63) + 2**64 * min(1.0, 1.5 * SAMPLE_DOCS / n)) - 1 for lang, n in counts.items()}
+    cut = F.coalesce(*[F.when(F.col("lang") == lang, F.lit(c)) for lang, c in cuts.items()], F.lit(-(2**63)))
+    near = rows.filter(F.col("h") <= cut).select("lang", "h", F.substring("text", 1, SAMPLE_CHARS).alias("text"))
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))
+    sample = near.withColumn("nth", nth).filter(F.col("nth") <= SAMPLE_DOCS).select("lang", "text").orderBy("lang", "text")
+    # one language after another, so that the driver holds the texts of one
+    for lang, texts in groupby(sample.toLocalIterator(), key=lambda r: r["lang"]):
+        for s in slots_of(_profiles([r["text"] for r in texts])):
+            slices[s] |= dtype(1 << langs.index(lang))
     return Model(langs, slices)
 
 
