@@ -218,3 +218,20 @@ def test_options():
     assert parse("-i a -o b -MaxDist 99999999".split()).max_kb == 1073740
     assert cli.main(["-h"]) == 1 and cli.main(["-i", "x"]) == 1
     assert sinks.stat_prefix("a.stat.gz") == "a"
+
+
+def test_store_prunes(spark, tmp_path, rows):
+    from ldspark.sources import store
+
+    path = str(tmp_path / "sites")
+    sites = keep_first(files.kept(files.read_vcf(spark, write_vcf(tmp_path / "a.vcf", rows), CFG)))
+    store.write_sites(sites, path)
+    all_back = store.read_sites(spark, path)
+    a, b = ({(r["contig"], r["pos"]): r["minor"] for r in t.collect()} for t in (sites, all_back))
+    assert a == b
+    some = store.read_sites(spark, path, regions.load_regions("chr10:1-20000,chr2"))
+    assert {(r["contig"], r["pos"]) for r in some.collect()} == {k for k in a if k[0] == "chr2" or k[0] == "chr10" and k[1] <= 20000}
+    one = store.read_sites(spark, path, regions.load_regions("chr1:1-5000"))
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(contig" in plan and "GreaterThanOrEqual(pos" in plan
+    assert {r["dist"]: r["n"] for r in aggregates.decay(all_back, 1, 10_000, 40).collect()} == {r["dist"]: r["n"] for r in aggregates.decay(sites, 1, 10_000, 40).collect()}
