@@ -34,7 +34,8 @@ def pair_tables(sites: DataFrame, max_dist: int, n_hap: int | None = None, keep:
     cols = ["pos", "n_hap", "minor", "miss", "minor_count", "has_missing", *keep]
     bucket = F.floor(F.col("pos") / max_dist).cast("long")
     left = sites.select("grp", "contig", *[F.col(c).alias(f"l_{c}") for c in cols], F.explode(F.array(bucket, bucket + 1)).alias("bucket"))
-    right = sites.select("grp", "contig", *[F.col(c).alias(f"r_{c}") for c in cols], bucket.alias("bucket"))
+    # both sides explode, so that nothing is pushed into only one of them and the sites are made once
+    right = sites.select("grp", "contig", *[F.col(c).alias(f"r_{c}") for c in cols], F.explode(F.array(bucket)).alias("bucket"))
     dist = F.col("r_pos") - F.col("l_pos")
     joined = left.join(right, ["grp", "contig", "bucket"]).filter((dist > 0) & (dist <= max_dist))
     clean = ~F.col("l_has_missing") & ~F.col("r_has_missing")

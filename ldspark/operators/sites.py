@@ -14,28 +14,12 @@ from ..config import LdConfig
 KEYS = ["grp", "contig", "pos", "seq", "input_rank"]
 
 
-def site_stats(calls: DataFrame, cfg: LdConfig, mode: str = "vcf") -> DataFrame:
-    """Counts of each site and the reason it is filtered for, null if it is kept.
+def _het() -> Column:
+    return ~F.col("miss") & (F.col("a") != F.col("b"))
 
-    Filters in order: missing rate above cfg.miss, het rate above cfg.het, not exactly two alleles
-    (`biallelic`), minor allele frequency below cfg.maf. Two alleles: the more frequent is best, the lower
-    character on ties. mode `genotype_all` takes frequencies of all haplotypes, missing ones included, and
-    tests them before the number of alleles."""
-    het = ~F.col("miss") & (F.col("a") != F.col("b"))
-    sides = F.array(F.struct(F.col("a").alias("allele"), F.lit(True).alias("first")), F.struct(F.col("b").alias("allele"), F.lit(False).alias("first")))
-    long = calls.select(*KEYS, "miss", het.alias("het"), F.explode(sides).alias("s"))
-    alleles = long.groupBy(*KEYS, F.when(~F.col("miss"), F.col("s.allele")).alias("allele")).agg(
-        F.count("*").alias("n"), F.count_if(F.col("s.first") & F.col("miss")).alias("miss"), F.count_if(F.col("s.first") & F.col("het")).alias("het")
-    )
-    sites = alleles.groupBy(*KEYS).agg(
-        F.expr("sum(n) div 2").alias("n_samples"), F.sum("miss").alias("n_miss"), F.sum("het").alias("n_het"),
-        F.array_sort(F.collect_list(F.when(F.col("allele").isNotNull(), F.struct((-F.col("n")).alias("less"), F.col("allele").alias("allele"))))).alias("by_count"),
-    )
-    best, sed = F.get("by_count", F.lit(0)), F.get("by_count", F.lit(1))
-    counts = sites.select(
-        *KEYS, "n_samples", "n_miss", "n_het", F.size("by_count").alias("n_alleles"), best["allele"].alias("best"), sed["allele"].alias("sed"),
-        F.coalesce(-best["less"], F.lit(0)).alias("n_best"), F.coalesce(-sed["less"], F.lit(0)).alias("n_sed"),
-    )
+
+def _verdict(cfg: LdConfig, mode: str) -> dict[str, Column]:
+    """maf and reason from a site's counts."""
     n = F.col("n_samples")
     whole = 2 * n if mode == "genotype_all" else F.col("n_best") + F.col("n_sed")
     maf = F.try_divide(F.col("n_sed"), whole)
@@ -43,10 +27,39 @@ def site_stats(calls: DataFrame, cfg: LdConfig, mode: str = "vcf") -> DataFrame:
     rare = F.when(maf < cfg.maf, "maf")
     first = F.coalesce(F.when(F.col("n_miss") / n > cfg.miss, "miss"), F.when(F.col("n_het") / n > cfg.het, "het"))
     if mode == "genotype_all":
-        reason = F.coalesce(first, rare, F.when(F.col("n_alleles") != 2, "biallelic"))
-    else:
-        reason = F.coalesce(first, biallelic, rare)
-    return counts.withColumns({"maf": maf, "reason": reason})
+        return {"maf": maf, "reason": F.coalesce(first, rare, F.when(F.col("n_alleles") != 2, "biallelic"))}
+    return {"maf": maf, "reason": F.coalesce(first, biallelic, rare)}
+
+
+def _counted(calls: DataFrame, more: list[Column], gathered: list[Column], carried: list[str]) -> DataFrame:
+    """Sites with counts, best and second allele. A first aggregate is by site and allele, a second by site; so a
+    task holds a few rows a site. more: aggregates of the first; carried: of those, the ones to keep by allele;
+    gathered: aggregates of the second."""
+    sides = F.array(F.struct(F.col("a").alias("allele"), F.lit(0).alias("side")), F.struct(F.col("b").alias("allele"), F.lit(1).alias("side")))
+    long = calls.select(*KEYS, "sample_idx", "miss", _het().alias("het"), F.explode(sides).alias("s"))
+    alleles = long.groupBy(*KEYS, F.when(~F.col("miss"), F.col("s.allele")).alias("allele")).agg(
+        F.count("*").alias("n"), F.count_if((F.col("s.side") == 0) & F.col("miss")).alias("miss"), F.count_if((F.col("s.side") == 0) & F.col("het")).alias("het"), *more
+    )
+    own = F.struct((-F.col("n")).alias("less"), F.col("allele").alias("allele"), *carried)
+    sites = alleles.groupBy(*KEYS).agg(
+        F.expr("sum(n) div 2").alias("n_samples"), F.sum("miss").alias("n_miss"), F.sum("het").alias("n_het"),
+        F.array_sort(F.collect_list(F.when(F.col("allele").isNotNull(), own))).alias("by_count"), *gathered,
+    )
+    best, sed = F.get("by_count", F.lit(0)), F.get("by_count", F.lit(1))
+    return sites.withColumns({
+        "n_alleles": F.size("by_count"), "best": best["allele"], "sed": sed["allele"],
+        "n_best": F.coalesce(-best["less"], F.lit(0)), "n_sed": F.coalesce(-sed["less"], F.lit(0)),
+    })
+
+
+def site_stats(calls: DataFrame, cfg: LdConfig, mode: str = "vcf") -> DataFrame:
+    """Counts of each site and the reason it is filtered for, null if it is kept.
+
+    Filters in order: missing rate above cfg.miss, het rate above cfg.het, not exactly two alleles
+    (`biallelic`), minor allele frequency below cfg.maf. Two alleles: the more frequent is best, the lower
+    character on ties. mode `genotype_all` takes frequencies of all haplotypes, missing ones included, and
+    tests them before the number of alleles."""
+    return _counted(calls, [], [], []).drop("by_count").withColumns(_verdict(cfg, mode))
 
 
 def encode(calls: DataFrame, stats: DataFrame, phased: bool) -> DataFrame:
@@ -56,7 +69,7 @@ def encode(calls: DataFrame, stats: DataFrame, phased: bool) -> DataFrame:
     value = lambda x: F.when(F.col("miss"), 2).when(F.col(x) == F.col("best"), 0).when(F.col(x) == F.col("sed"), 1).otherwise(2)
     va, vb = value("a"), value("b")
     if not phased:
-        het = ~F.col("miss") & (F.col("a") != F.col("b"))
+        het = _het()
         va, vb = F.when(het, 0).otherwise(va), F.when(het, 1).otherwise(vb)
     return calls.join(kept, KEYS).select(*KEYS, "sample_idx", va.alias("va"), vb.alias("vb"))
 
@@ -86,9 +99,36 @@ def keep_first(sites: DataFrame) -> DataFrame:
 
 
 def build_sites(calls: DataFrame, cfg: LdConfig, n_samples: int, phased: bool, mode: str = "vcf") -> DataFrame:
-    """calls to unique kept sites. Null positions or contigs are no sites."""
-    calls = calls.filter("contig IS NOT NULL AND pos IS NOT NULL")
-    return keep_first(pack(encode(calls, site_stats(calls, cfg, mode), phased), n_samples))
+    """calls to unique kept sites. Null positions or contigs are no sites.
+
+    The same as encode and pack, in one pass over the calls: each allele's haplotypes are packed along with its
+    count, and a kept site's planes are put together from those of its second allele, of the missing calls
+    and of the heterozygotes."""
+    words = -(-2 * n_samples // 64)
+    word, at = F.floor(F.col("sample_idx") / 32).cast("int"), (F.col("sample_idx") % 32 * 2).cast("int")
+    bit, none = F.call_function("shiftleft", F.lit(1).cast("long"), at + F.col("s.side")), F.lit(0).cast("long")
+    own = F.array(*[F.bit_or(F.when(word == k, bit).otherwise(none)) for k in range(words)]).alias("plane")
+    het = F.array(*[F.bit_or(F.when((word == k) & F.col("het"), bit).otherwise(none)) for k in range(words)]).alias("hets")
+    at_word = lambda c, k: F.get(F.col(c), F.lit(k))
+    every = lambda c, name: F.array(*[F.bit_or(c(k)) for k in range(words)]).alias(name)
+    gathered = [
+        every(lambda k: F.when(F.col("allele").isNull(), at_word("plane", k)).otherwise(none), "miss"),
+        every(lambda k: at_word("hets", k), "hets"),
+    ]
+    found = _counted(calls.filter("contig IS NOT NULL AND pos IS NOT NULL"), [own, het], gathered, ["plane"]).withColumns(_verdict(cfg, mode))
+    second = F.get("by_count", F.lit(1))["plane"]
+    # the second haplotype of each sample, which is where an unphased heterozygote has its second allele
+    second_side = F.lit(sum(1 << k for k in range(1, 64, 2)) - (1 << 64)).cast("long")
+    minor = []
+    for k in range(words):
+        w = F.coalesce(F.get(second, F.lit(k)), none)
+        if not phased:
+            h = at_word("hets", k)
+            w = w.bitwiseAND(F.bitwise_not(h)).bitwiseOR(h.bitwiseAND(second_side))
+        minor.append(w)
+    kept = found.filter("reason IS NULL").withColumn("minor", F.array(*minor))
+    ones = sum((F.bit_count(at_word("minor", k)) for k in range(1, words)), F.bit_count(at_word("minor", 0))).cast("int")
+    return keep_first(kept.select(*KEYS, F.lit(2 * n_samples).alias("n_hap"), "minor", "miss", ones.alias("minor_count"), (F.col("n_miss") > 0).alias("has_missing")))
 
 
 def union_inputs(*inputs: DataFrame) -> DataFrame:

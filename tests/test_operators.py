@@ -66,3 +66,20 @@ def test_entry_and_registry(spark):
     assert e.entry(spark).count() > 0
     q = e.queries()
     assert set(e.oracle_sql()) <= set(q) and all(map(callable, q.values()))
+
+
+def test_one_pass_packing_is_the_two_pass_one(spark):
+    import random
+
+    from ldspark.config import LdConfig
+    from ldspark.operators import sites
+
+    r = random.Random(3)
+    rows = [("", c, p, p, 0, s, *r.choice([("A", "A"), ("A", "T"), ("T", "A"), ("T", "T"), (".", "A") if p % 7 == 0 else ("A", "A")]), r.random() < 0.06)
+            for c in ("x", "y") for p in range(1, 30) for s in range(45)]
+    calls = spark.createDataFrame(rows, "grp string, contig string, pos long, seq long, input_rank int, sample_idx int, a string, b string, miss boolean")
+    for phased in (True, False):
+        one = sites.build_sites(calls, LdConfig(), 45, phased)
+        two = sites.pack(sites.encode(calls, sites.site_stats(calls, LdConfig()), phased), 45)
+        key = lambda t: sorted((x["contig"], x["pos"], x["minor"], x["miss"], x["minor_count"], x["has_missing"], x["n_hap"]) for x in t.collect())
+        assert key(one) == key(two) and len(key(one)) >= 40
