@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .tables import id_crc, map_batches
 
@@ -178,22 +179,24 @@ def identify(df: DataFrame, model: Model, keep: list[str] = (), names: tuple[str
     its parameters, is broadcast."""
     sent = df.sparkSession.sparkContext.broadcast((model.langs, model.slices))
     kept = df.select(*keep).schema
+    # the text goes along once, kept or not
+    sent_along = [*keep] if "text" in keep else [*keep, "text"]
+    at, n = sent_along.index("text"), len(keep)
 
     def make() -> Callable:
         here = Model(*sent.value)
 
         def one(batch):
-            found = [here.predict(t) for t in batch.column("__text").to_pylist()]
+            found = [here.predict(t) for t in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(i) for i in range(batch.num_columns - 1)]
-                + [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())],
-                [*batch.schema.names[:-1], *names],
+                [batch.column(i) for i in range(n)] + [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())],
+                [*batch.schema.names[:n], *names],
             )
 
         return one
 
-    schema = kept.add(names[0], "string").add(names[1], "double")
-    return map_batches(df.select(*keep, F.col("text").cast("string").alias("__text")), make, schema)
+    schema = T.StructType([*kept.fields]).add(names[0], "string").add(names[1], "double")
+    return map_batches(df.select(*sent_along), make, schema)
 
 
 def held_out(col: str = "doc_id"):
