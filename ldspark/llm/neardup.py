@@ -33,7 +33,7 @@ from .words import mix, shingle_hashes, word_hashes
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 4
 #: A block ends with so many shingles or documents; a bucket has about so many entries.
-BLOCK_SHINGLES, BLOCK_DOCS, BUCKET_ENTRIES = 3_000_000, 60_000, 1_500_000
+BLOCK_SHINGLES, BLOCK_DOCS, BUCKET_ENTRIES = 2_000_000, 60_000, 1_500_000
 SEVERAL = 4
 #: Characters that a shingle takes on average, to choose the number of buckets.
 CHARS = 5
