@@ -377,6 +377,28 @@ def test_lm_base(spark):
     assert ppm.score(frame(spark, {14: "ab"})).collect()[0]["train_tokens"] >= 0
 
 
+def test_lm_keeps_every_gram(spark, monkeypatch):
+    """Rare grams of a corpus of over 2^20 bytes count; blocks and buckets do not matter."""
+    monkeypatch.setattr(ppm, "BLOCK", 150_000, raising=False)
+    monkeypatch.setattr(ppm, "BUCKET_CHARS", 300_000, raising=False)
+    docs = {k: prose(40_000, random.Random(k)) for k in range(12)} | {k: " ".join(f"q{k}z{j}x" for j in range(k)) for k in range(20, 60)} | {60: "\u4e2d\u6587 \x01\x02 \U0001f600", 61: None}
+    train = [ppm.stream_of(ppm.tokens_of(t)) for d, t in docs.items() if zlib.crc32(str(d).encode()) % 7 != 2]
+    assert sum(map(len, train)) > 2 << 20
+    codes, n = np.unique(np.concatenate([ppm.grams(s) for s in train]), return_counts=True)
+    entries, contexts = [], []
+    for k in range(ppm.ORDER, -1, -1):
+        low, at = np.unique(codes & np.uint64((1 << 8 * (k + 1)) - 1), return_inverse=True)
+        times = np.bincount(at, n).astype(int)
+        ctx, at = np.unique(low >> np.uint64(8), return_inverse=True)
+        entries.insert(0, (low, times))
+        contexts.insert(0, (ctx, np.bincount(at, times)))
+    trie = ppm.Trie(entries, contexts)
+    got = {x["doc_id"]: x["score"] for x in ppm.score(frame(spark, docs).repartition(3)).collect()}
+    assert len(got) == len(docs)
+    for (d, t), want in zip(docs.items(), trie.text_scores([ppm.stream_of(ppm.tokens_of(t)) for t in docs.values()]), strict=True):
+        assert got[d] == pytest.approx(want), d
+
+
 def test_trie_is_a_distribution_and_excludes():
     text = [ppm.stream_of(ppm.tokens_of(prose(400, random.Random(k)))) for k in range(5)]
     codes, n = np.unique(np.concatenate([ppm.grams(s) for s in text]), return_counts=True)
