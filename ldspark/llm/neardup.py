@@ -11,7 +11,8 @@
 3. Improved consistent weighted sampling gives BANDS * ROWS samples that agree between two documents with
    probability equal to their weighted Jaccard similarity. In each band's bucket (and in finer buckets of
    two bands) members are paired with pivots: the member with the largest shared part, which in a family
-   of edited copies is the source, one at random and the first. That is linear in the bucket's size.
+   of edited copies is the source, one at random and the first. That is linear in the bucket's size, and
+   leaves few components; members of a bucket that are then in different ones are all paired.
 4. Pairs are verified by the exact weighted Jaccard similarity of their vectors, and classes are the
    connected components. Documents with the same words are one node throughout.
 """
@@ -288,8 +289,11 @@ def classes(docs: DataFrame) -> DataFrame:
     bands = written(_bands(node), "near-bands")
     pairs = written(_pairs(bands), "near-pairs")
     side = lambda x: node.select(*[F.col(c).alias(f"{x}_{c}") for c in ("node", "total", "ids", "weights")])
-    joined = pairs.join(side("a"), F.col("a") == F.col("a_node")).join(side("b"), F.col("b") == F.col("b_node")).drop("a_node", "b_node")
-    links = written(map_batches(joined, _verify, "a long, b long, similarity double"), "near-links")
+    with_both = lambda x: x.join(side("a"), F.col("a") == F.col("a_node")).join(side("b"), F.col("b") == F.col("b_node")).drop("a_node", "b_node")
+    verified = lambda x: map_batches(with_both(x), _verify, "a long, b long, similarity double")
+    links = written(verified(pairs), "near-links")
+    rest = written(_rest(bands, components(links), pairs), "near-rest")
+    links = written(links.union(verified(rest)), "near-links")
     roots = components(links)
     degree = links.select(F.col("a").alias("node")).union(links.select("b")).groupBy("node").agg(F.count("*").alias("n_links"))
     named = node.select("node", "k1", "k2").join(roots, F.col("node") == F.col("id"), "left").join(degree, "node", "left")
@@ -343,6 +347,17 @@ def _pairs(bands: DataFrame) -> DataFrame:
     return out.distinct()
 
 
+def _rest(bands: DataFrame, roots: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Each pair of a bucket that the pivots left in different components and that was not compared yet."""
+    members = bands.select("node", "band", F.col("h1").alias("h")).join(roots, F.col("node") == F.col("id"), "left")
+    members = members.select("node", "band", "h", F.coalesce("root", "node").alias("root"))
+    mixed = members.groupBy("band", "h").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high").select("band", "h")
+    members = written(members.join(mixed, ["band", "h"]), "near-mixed")
+    side = lambda x: members.select("band", "h", F.col("node").alias(x), F.col("root").alias(f"{x}_root"))
+    found = side("a").join(side("b"), ["band", "h"]).filter("a < b AND a_root != b_root").select("a", "b").distinct()
+    return found.join(pairs, ["a", "b"], "left_anti")
+
+
 def _verify():
     def one(batch):
         a, b, kept = [], [], []

@@ -468,6 +468,18 @@ def test_near_dedup_odd(spark):
     assert neardup.classes(frame(spark, [])).count() == 0
 
 
+def test_near_dedup_pairs_without_a_pivot(spark, monkeypatch):
+    """A bucket of many pairs, whose members are like each other and not like the pivots."""
+    monkeypatch.setattr(neardup, "_bands", lambda node: node.selectExpr("node", "1D AS shared", "0 AS band", "1L AS h1", "1L AS h2"))
+    r = random.Random(5)
+    docs = {}
+    for k in range(0, 24, 2):
+        docs[k] = prose(100, r, 1000)
+        docs[k + 1] = docs[k] + " end"
+    got = {x["doc_id"]: x["class_id"] for x in neardup.classes(frame(spark, docs)).collect()}
+    assert got == {d: d - d % 2 for d in docs} == brute_classes(list(docs.items()))
+
+
 def test_near_dedup_common_shingles_and_blocks(spark, monkeypatch):
     """Copies by the hundred, spread over blocks, with one passage in every text."""
     r = random.Random(3)
