@@ -193,6 +193,16 @@ def test_passages(spark):
     assert len(clean) == 40 and clean[5] == docs[5] and len(clean[20].split()) < 90 < len(clean[12].split())
 
 
+def test_passages_twice_in_one_document(spark):
+    r = random.Random(31)
+    p = prose(80, r, 1000)
+    docs = {1: p, 2: f"{prose(90, r)} {p} {prose(90, r)} {p} {prose(30, r)}"}
+    covered = {k for x in passages.repeated_passages(frame(spark, docs)).collect() if (x["doc_id"], x["src_doc_id"]) == (2, 1) for k in range(x["start"], x["end"])}
+    assert {*range(90, 170), *range(260, 340)} <= covered and len(covered) < 200
+    clean = {x["doc_id"]: x["text"] for x in passages.without_passages(frame(spark, docs)).collect()}
+    assert 190 < len(clean[2].split()) <= 210
+
+
 def test_passages_odd(spark):
     df = frame(spark, [*ODD, (11, LONG[50_000:90_000])])
     rows = passages.repeated_passages(df).collect()
