@@ -1,7 +1,7 @@
 """Near-duplicate documents: consistent weighted samples of TF-IDF shingles, banded and verified.
 
 1. Blocks. Each task hashes its documents' shingles of SHINGLE words and deals (hash, document, count)
-   to buckets by hash, packed and sorted, in about 8 bytes an entry. A shingle that SEVERAL documents of
+   to buckets by hash, packed and sorted, in about 12 bytes an entry before compression. A shingle that SEVERAL documents of
    a block have goes as one entry with their number, so a shingle that every document has costs an entry
    a block. A bucket's task adds up exact document frequencies over the corpus and answers each block
    with its shingles that other documents have too.
@@ -69,7 +69,7 @@ class Block:
         self.keys.append(xxhash.xxh3_128_digest(words.tobytes()))
         self.totals.append(int(tf.sum()))
         self.hashes.append(h)
-        self.counts.append(np.minimum(tf, 65535).astype(np.uint16))
+        self.counts.append(tf.astype(np.uint32))
         self.size += len(h)
 
     def full(self) -> bool:
@@ -90,7 +90,7 @@ class Block:
         head = _head(self.docs, self.keys, self.totals, _ids(h[shared_first], buckets), runs[runs >= SEVERAL], doc[common], tf[common])
         h2 = np.concatenate([h[~common], h[shared_first]])
         doc2 = np.concatenate([doc[~common], np.full(len(shared_first), MANY)])
-        tf2 = np.concatenate([tf[~common], np.zeros(len(shared_first), np.uint16)])
+        tf2 = np.concatenate([tf[~common], np.zeros(len(shared_first), np.uint32)])
         n2 = np.concatenate([np.ones(np.count_nonzero(~common), np.uint16), runs[runs >= SEVERAL].astype(np.uint16)])
         bucket = (h2 & np.uint64(0xFFFFFFFF)) % np.uint64(buckets)
         order = np.lexsort((h2, bucket))
@@ -123,7 +123,7 @@ def _head(docs, keys, totals, ids, runs, doc, tf) -> bytes:
 
 def _unhead(raw: bytes) -> list[np.ndarray]:
     out, at = [], 0
-    for kind in ("<i8", "u1", "u1", "<i8", "<u8", "<i8", "<i8", "<u2", "<u2"):
+    for kind in ("<i8", "u1", "u1", "<i8", "<u8", "<i8", "<i8", "<u2", "<u4"):
         n = int.from_bytes(raw[at : at + 8], "little")
         out.append(np.frombuffer(raw, kind, n // np.dtype(kind).itemsize, at + 8))
         at += 8 + n
@@ -157,7 +157,7 @@ def _count(table: pa.Table) -> pa.Table:
     los = col("lo", "<u4")
     sizes = [len(x) for x in los]
     h = (np.concatenate(col("hi", "<u2")).astype(np.uint64) << np.uint64(32)) | np.concatenate(los)
-    doc, tf, n = (np.concatenate(col(c, "<u2")) for c in ("doc", "tf", "n"))
+    doc, tf, n = (np.concatenate(col(c, k)) for c, k in (("doc", "<u2"), ("tf", "<u4"), ("n", "<u2")))
     order = np.argsort(h, kind="stable")
     sorted_h = h[order]
     first = np.flatnonzero(np.concatenate([[True], sorted_h[1:] != sorted_h[:-1]])[: len(h)])
@@ -186,7 +186,7 @@ def _assemble(n_docs: int):
         docs, known, keys, totals, many, starts, runs, many_doc, many_tf = _unhead(heads[0])
         keys = keys.view("<i8").reshape(-1, 2)
         col = lambda name, kind: np.concatenate([np.empty(0, kind), *[np.frombuffer(x.as_buffer(), kind) for x in table.column(name) if x.is_valid]])
-        ids, doc, tf, df = col("id", "<u8"), col("doc", "<u2"), col("tf", "<u2"), col("df", "<u4")
+        ids, doc, tf, df = col("id", "<u8"), col("doc", "<u2"), col("tf", "<u4"), col("df", "<u4")
         whole = doc == MANY
         place = np.searchsorted(many, ids[whole])
         times = runs[place]

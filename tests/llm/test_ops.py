@@ -490,6 +490,12 @@ def test_near_dedup_pairs_without_a_pivot(spark, monkeypatch):
     assert got == {d: d - d % 2 for d in docs} == brute_classes(list(docs.items()))
 
 
+def test_near_dedup_counts_beyond_16_bits(spark):
+    many = "one two three four five six seven eight " * 100_000
+    got = {x["doc_id"]: x["class_id"] for x in neardup.classes(frame(spark, {1: many, 2: many + "nine", 3: "a b c d e f"})).collect()}
+    assert got == {1: 1, 2: 1, 3: 3}
+
+
 def test_near_dedup_common_shingles_and_blocks(spark, monkeypatch):
     """Copies by the hundred, spread over blocks, with one passage in every text."""
     r = random.Random(3)
