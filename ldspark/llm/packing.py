@@ -11,7 +11,7 @@ frequent) and look their places up. The result is that of one sequential best-fi
 
 from __future__ import annotations
 
-import base64
+import json
 import zlib
 from functools import cache
 
@@ -28,27 +28,37 @@ CAPACITY, END = 2048, 0
 GROUPS, GROUP_ROWS = 1 << 16, 256
 
 
+def _byte_of() -> dict[str, int]:
+    """A byte-level vocabulary's letters: printable bytes stand for themselves, the others for the code points from
+    256 on, in order."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
+
+
 @cache
-def encoder(ranks_file: str, pattern: str):
-    """The byte-level BPE of a ranks file. It gives the ids that the same vocabulary's JSON file gives in
-    the tokenizers library (held against it in the tests), several times faster. Strings of special
-    tokens are ordinary text."""
+def encoder(json_file: str, pattern: str):
+    """The byte-level BPE of a tokenizers file. It gives the ids that the tokenizers library gives with that file,
+    its added tokens included (held against it in the tests), several times faster."""
     import tiktoken
 
-    with open(ranks_file, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    with open(json_file, encoding="utf-8") as f:
+        found = json.load(f)
+    letters = _byte_of()
+    ranks = {bytes(letters[c] for c in token): rank for token, rank in found["model"]["vocab"].items()}
+    added = {t["content"]: t["id"] for t in found["added_tokens"]}
+    return tiktoken.Encoding("bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens=added)
 
 
 def default_encoder():
     import public_tokenizers
 
-    return encoder(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return encoder(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
 
 def token_ids(text: str | None, enc) -> np.ndarray:
     """Ids of the text (null: empty) and the end id, as unsigned 32-bit integers."""
-    ids = enc.encode_to_numpy(text, disallowed_special=()) if text else []
+    ids = enc.encode_to_numpy(text, allowed_special="all") if text else []
     return np.append(np.asarray(ids, "<u4"), np.uint32(END)).astype("<u4")
 
 
@@ -61,30 +71,35 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 def cut_pieces(docs: DataFrame, with_ids: bool = False, capacity: int = CAPACITY, make_encoder=default_encoder) -> DataFrame:
-    """The pieces of each document's ids; with_ids adds the ids themselves."""
+    """The pieces of each document's ids; with_ids adds the ids themselves, 32 bits each.
+
+    Null text is as empty: one piece, the end id. Repeated rows have pieces each; other columns are left out."""
 
     def make():
         enc = make_encoder()
 
         def one(batch):
-            cols: list[list] = [[] for _ in range(6)]
+            rows, ids = [], []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = token_ids(text, enc)
-                starts = cuts(len(ids), capacity)
-                for k, (a, b) in enumerate(zip(starts, [*starts[1:], len(ids)], strict=True)):
-                    row = (doc, k, a, b - a, zlib.crc32(ids[a:b].tobytes()), ids[a:b] if with_ids else None)
-                    for c, v in zip(cols, row, strict=True):
-                        c.append(v)
-            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())][: 5 + with_ids]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(cols, kinds, strict=False)],
-                ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: 5 + with_ids],
-            )
+                mine = token_ids(text, enc)
+                starts = cuts(len(mine), capacity)
+                for k, (a, b) in enumerate(zip(starts, [*starts[1:], len(mine)], strict=True)):
+                    rows.append((doc, k, a, b - a, zlib.crc32(mine[a:b].tobytes())))
+                if with_ids:
+                    ids.append(mine)
+            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+            cols = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
+            names = ["doc_id", "piece", "start", "length", "ids_crc32"]
+            if with_ids:
+                ends = np.cumsum([0, *(r[3] for r in rows)]).astype(np.int32)
+                cols.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids).view(np.int32))))
+                names.append("ids")
+            yield pa.RecordBatch.from_arrays(cols, names)
 
         return one
 
     picked = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
-    return map_batches(picked, make, PIECES + (", ids array<long>" if with_ids else ""))
+    return map_batches(picked, make, PIECES + (", ids array<int>" if with_ids else ""))
 
 
 class Room:
@@ -156,9 +171,19 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """pieces (doc_id, piece, start, length, ids_crc32, ...) with sequence_id and offset.
 
     Equal lengths go in order of a salted hash, then doc_id, piece, start; ties are repeated rows, any of
-    which may take either place. No pieces give no rows. More columns are kept."""
+    which may take either place. No pieces give no rows. More columns are kept; columns of no fixed size (ids) stay
+    out of the ranking and join its result by a row number."""
+    wide = [f.name for f in pieces.schema.fields if not isinstance(f.dataType, T.NumericType)]
+    stored = written(pieces.withColumn("__row", F.monotonically_increasing_id()) if wide else pieces, "pieces")
+    placed = _placed(stored.drop(*wide), capacity)
+    if not wide:
+        return placed
+    placed = written(placed, "places")
+    return stored.select("__row", *wide).join(placed, "__row").select(*pieces.columns, "sequence_id", "offset")
+
+
+def _placed(pieces: DataFrame, capacity: int) -> DataFrame:
     spark = pieces.sparkSession
-    pieces = written(pieces, "pieces")
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     rows = plan(histogram, capacity)
     most = max(GROUP_ROWS, sum(histogram.values()) // GROUPS)

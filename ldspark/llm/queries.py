@@ -67,14 +67,15 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP1_SQL = r"""
 WITH doc AS (SELECT doc_id, string_split(text, chr(10)) AS all_lines FROM documents),
 line AS (SELECT doc_id, unnest(all_lines) AS line, unnest(range(len(all_lines))) AS k FROM doc),
-word AS (SELECT doc_id, k, line, list_filter(string_split_regex(lower(line), '[\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+'), lambda x: x <> '') AS w FROM line),
-own AS (SELECT doc_id, k, line, list_distinct(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i:i + 4], ' '))) AS tokens
-  FROM word WHERE len(w) > 0),
-class AS (SELECT *, row_number() OVER (ORDER BY doc_id, k) AS c, len(tokens) AS n FROM own QUALIFY row_number() OVER (PARTITION BY line ORDER BY doc_id, k) = 1),
-tok AS (SELECT c, n, doc_id, unnest(tokens) AS t FROM class),
-link AS (SELECT a.c AS early, b.c AS late, a.doc_id AS ed, b.doc_id AS ld FROM tok a JOIN tok b ON a.t = b.t AND a.c < b.c
-  GROUP BY a.c, b.c, a.doc_id, b.doc_id, a.n, b.n HAVING 5 * count(*) >= 4 * (a.n + b.n - count(*))),
-gone AS (SELECT o.doc_id, o.k FROM own o LEFT JOIN class c ON o.doc_id = c.doc_id AND o.k = c.k WHERE c.c IS NULL OR c.c IN (SELECT late FROM link)),
+own AS (SELECT doc_id, k, line, list_distinct(list_filter(string_split_regex(lower(line), '[\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+'), lambda x: x <> '')) AS w FROM line),
+class AS (SELECT *, row_number() OVER (ORDER BY doc_id, k) AS c, len(w) AS n FROM own WHERE len(w) > 0 QUALIFY row_number() OVER (PARTITION BY line ORDER BY doc_id, k) = 1),
+tok AS (SELECT c, n, unnest(w) AS t FROM class),
+df AS (SELECT t, count(*) AS lines FROM tok GROUP BY t),
+prefix AS (SELECT c, n, t FROM tok JOIN df USING (t) QUALIFY row_number() OVER (PARTITION BY c ORDER BY lines, t) <= n - ceil(n * 4 / 5) + 1),
+pair AS (SELECT DISTINCT a.c AS early, b.c AS late FROM prefix a JOIN prefix b ON a.t = b.t AND a.c < b.c AND 5 * least(a.n, b.n) >= 4 * greatest(a.n, b.n)),
+link AS (SELECT b.c AS late, b.doc_id AS ld, min_by(a.doc_id, a.c) AS ed FROM pair JOIN class a ON a.c = early JOIN class b ON b.c = late
+  WHERE 5 * len(list_intersect(a.w, b.w)) >= 4 * (a.n + b.n - len(list_intersect(a.w, b.w))) GROUP BY b.c, b.doc_id),
+gone AS (SELECT o.doc_id, o.k FROM own o LEFT JOIN class c ON o.doc_id = c.doc_id AND o.k = c.k WHERE len(o.w) > 0 AND (c.c IS NULL OR c.c IN (SELECT late FROM link))),
 cut AS (SELECT doc_id, count(*) AS n, string_agg(k::VARCHAR, ',' ORDER BY k) AS removed FROM gone GROUP BY doc_id),
 ends AS (SELECT doc_id, count(*) AS n FROM (SELECT ed AS doc_id FROM link UNION ALL SELECT ld FROM link) GROUP BY doc_id)
 SELECT d.doc_id, CAST(coalesce(len(all_lines), 0) AS BIGINT) AS n_lines, CAST(coalesce(cut.n, 0) AS BIGINT) AS n_removed,

@@ -7,6 +7,8 @@ import tempfile
 import time
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +18,7 @@ from ..session import ship
 
 #: Rows and bytes of one Arrow batch given to Python; a batch of very long texts stays small.
 BATCH_ROWS, BATCH_BYTES = 500, 8 << 20
-_SCRATCH: dict[str, list[str]] = {}
+_LISTENING: ContextVar[list[str] | None] = ContextVar("listening", default=None)
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -47,11 +49,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """The rows of df, written once as Parquet in the shared folder and read from there: a later
-    loss of an executor re-reads files instead of recomputing, and every reader sees the same rows."""
+    loss of an executor re-reads files instead of recomputing, and every reader sees the same rows.
+    The folder is deleted when the application ends, or earlier by whoever listens with `collecting`."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _SCRATCH.setdefault(spark.sparkContext.applicationId, []).append(path)
+    at_end(spark, path)
+    listening = _LISTENING.get()
+    if listening is not None:
+        listening.append(path)
     # the shuffles behind the table are done with; executors delete their files when the driver's
     # garbage collector finds that, which it may otherwise do only much later; it takes two rounds
     gc.collect()
@@ -61,12 +67,33 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete the tables that `written` left. Call it only when results built on them are stored."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    for path in _SCRATCH.pop(spark.sparkContext.applicationId, []):
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(conf).delete(p, True)
+def _folder(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def at_end(spark: SparkSession, path: str) -> None:
+    """Delete the folder when the application ends."""
+    fs, p = _folder(spark, path)
+    fs.deleteOnExit(p)
+
+
+@contextmanager
+def collecting(paths: list[str]) -> Iterator[None]:
+    """The folders of all tables that `written` makes meanwhile go to paths."""
+    before = _LISTENING.set(paths)
+    try:
+        yield
+    finally:
+        _LISTENING.reset(before)
+
+
+def delete(spark: SparkSession, paths: list[str]) -> None:
+    """Delete these folders and empty the list. Only results that are built on them break."""
+    for path in paths:
+        fs, p = _folder(spark, path)
+        fs.delete(p, True)
+    paths.clear()
 
 
 def map_batches(df: DataFrame, make: Callable[[], Callable], schema: str) -> DataFrame:
@@ -77,6 +104,7 @@ def map_batches(df: DataFrame, make: Callable[[], Callable], schema: str) -> Dat
         for batch in batches:
             if batch.num_rows:
                 yield from f(batch)
+        pa.default_memory_pool().release_unused()  # the worker process lives on
 
     return df.mapInArrow(run, schema)
 
