@@ -39,6 +39,8 @@ SEVERAL = 4
 #: Characters that a shingle takes on average, to choose the number of buckets.
 CHARS = 5
 MANY = np.uint16(0xFFFF)
+#: Classes of over LARGE rows and one in LARGE_CLASSES of all are at most LARGE_CLASSES in number, so these are broadcast.
+LARGE, LARGE_CLASSES = 1000, 10_000
 
 _PACKED = "bucket long, block long, hi binary, lo binary, doc binary, tf binary, n binary"
 _ANSWER = "block long, id binary, doc binary, tf binary, df binary, head binary"
@@ -309,7 +311,16 @@ def classes(docs: DataFrame) -> DataFrame:
     )
     keyed = written(rows.select("doc_id", group.alias("g"), F.coalesce("n_links", F.lit(0)).alias("n_links")).select("doc_id", "g.*", "n_links"), "near-rows")
     sizes = keyed.groupBy("kind", "a", "b").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
-    return keyed.join(sizes, ["kind", "a", "b"]).select("doc_id", "class_id", "class_size", "n_links", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("representative"))
+    sizes = written(sizes.filter("class_size > 1"), "near-sizes")
+    bar = max(LARGE, keyed.count() // LARGE_CLASSES)
+    large, few = sizes.filter(F.col("class_size") > bar), sizes.filter(F.col("class_size") <= bar)
+    same = ["kind", "a", "b"]
+    rest = keyed.join(F.broadcast(large), same, "left_anti").join(few, same, "left")
+    whole = keyed.join(F.broadcast(large), same).unionByName(rest)
+    class_id = F.when(F.col("class_size").isNull(), F.col("doc_id")).otherwise(F.col("class_id"))
+    return whole.select("doc_id", class_id.alias("class_id"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"), "n_links").withColumn(
+        "representative", F.col("doc_id").eqNullSafe(F.col("class_id"))
+    )
 
 
 def _bands(node: DataFrame) -> DataFrame:
@@ -348,13 +359,17 @@ def _pairs(bands: DataFrame) -> DataFrame:
 
 
 def _rest(bands: DataFrame, roots: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Each pair of a bucket that the pivots left in different components and that was not compared yet."""
-    members = bands.select("node", "band", F.col("h1").alias("h")).join(roots, F.col("node") == F.col("id"), "left")
+    """Each pair of a bucket that the pivots left in different components and that was not compared yet. A pair that
+    meets in several bands is made in the first of them only."""
+    members = bands.select("node", "band", F.xxhash64("band", "h1").alias("h")).join(roots, F.col("node") == F.col("id"), "left")
     members = members.select("node", "band", "h", F.coalesce("root", "node").alias("root"))
-    mixed = members.groupBy("band", "h").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high").select("band", "h")
-    members = written(members.join(mixed, ["band", "h"]), "near-mixed")
-    side = lambda x: members.select("band", "h", F.col("node").alias(x), F.col("root").alias(f"{x}_root"))
-    found = side("a").join(side("b"), ["band", "h"]).filter("a < b AND a_root != b_root").select("a", "b").distinct()
+    mixed = members.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high").select("h")
+    members = written(members.join(mixed, "h"), "near-mixed")
+    every = members.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("band", "h")))["h"].alias("all"))  # at most BANDS
+    members = members.join(every, "node")
+    side = lambda x: members.select("h", F.col("node").alias(x), F.col("root").alias(f"{x}_root"), F.col("all").alias(f"{x}_all"))
+    meet = F.get(F.array_intersect("a_all", "b_all"), F.lit(0))
+    found = side("a").join(side("b"), "h").filter((F.col("a") < F.col("b")) & (F.col("a_root") != F.col("b_root")) & (meet == F.col("h"))).select("a", "b")
     return found.join(pairs, ["a", "b"], "left_anti")
 
 
