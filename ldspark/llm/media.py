@@ -93,10 +93,18 @@ def fingerprint(samples: np.ndarray) -> np.ndarray:
 
 SCHEMA = (
     "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, "
-    "media_bytes long, media_sha256 string, n_pairs long, feature string"
+    "media_bytes long, media_sha256 string, feature string, n_pairs long"
 )
 
 
+def stored_and_marked(text: str | None) -> tuple[bytes, int, bytes, np.ndarray]:
+    """The WAV file of a text, its bytes without padding, the payload read back and the fingerprint of that."""
+    payload, n = payload_of(text)
+    media = to_wav(payload)
+    back = from_wav(media)
+    return media, n, back, fingerprint(np.frombuffer(back, np.uint8))
+
+
 def media_columns(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, media (the WAV file's bytes) and fingerprint (array of time-coded pairs) of each row.
 
@@ -105,11 +113,9 @@ def media_columns(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     def make():
         def one(batch):
-            texts = batch.column(1).to_pylist()
-            media = [to_wav(payload_of(t)[0]) for t in texts]
-            marks = [fingerprint(np.frombuffer(from_wav(m), np.uint8)) for m in media]
+            found = [stored_and_marked(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(media, pa.binary()), pa.array(marks, pa.list_(pa.int64()))],
+                [batch.column(0), pa.array([f[0] for f in found], pa.binary()), pa.array([f[3] for f in found], pa.list_(pa.int64()))],
                 ["doc_id", "media", "fingerprint"],
             )
 
@@ -120,22 +126,18 @@ def media_columns(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def media_digests(df: DataFrame) -> DataFrame:
-    """The contract's digest of media_columns, made in the same pass so that no file is shuffled.
+    """The contract's digest of the same columns, made in one pass so that no file is shuffled.
 
-    feature: number of pairs and a hash of all time-coded pairs."""
+    feature: the array of time-coded pairs, 16 hexadecimal digits each. Odd rows as in media_columns."""
 
     def make():
         def one(batch):
             out = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                payload, n = payload_of(text)
-                media = to_wav(payload)
-                back = from_wav(media)
-                codes = fingerprint(np.frombuffer(back, np.uint8))
+                media, n, back, codes = stored_and_marked(text)
                 out.append(
                     (doc, n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-BLOCK:]), len(media),
-                     hashlib.sha256(media).hexdigest(), len(codes),
-                     f"{len(codes)}:{hashlib.sha256(codes.astype('<i8').tobytes()).hexdigest()[:32]}")
+                     hashlib.sha256(media).hexdigest(), codes.astype(">i8").tobytes().hex(), len(codes))
                 )
             names = [c.split()[0] for c in SCHEMA.split(", ")]
             kinds = [pa.string() if "string" in c else pa.int64() for c in SCHEMA.split(", ")]
