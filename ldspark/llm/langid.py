@@ -5,15 +5,15 @@ language's bit at HASHES slots, and the AND of an n-gram's slots names every lan
 one look-up. A text's n-grams are counted per language bit; a filter of fill f answers falsely with
 probability f**HASHES, so the count c of n look-ups is corrected to (c - n p) / (1 - p).
 
-A language's filter holds its most frequent n-grams up to COVER of their occurrences, learned from a
-bounded sample of labelled rows (SAMPLE_DOCS a language, the least hashes of the text). That bound,
-the filter's 2**SLOT_BITS slots and at most 64 languages bound everything that is sent to a task.
+A language's filter holds its most frequent n-grams up to COVER of their occurrences, learned from the whole
+texts of a bounded sample of labelled rows (SAMPLE_DOCS a language, the least hashes of the text), which
+tasks count; the driver gets a language's n-grams with their counts. The filter's 2**SLOT_BITS slots and at
+most 64 languages bound what is sent to a task.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from itertools import groupby
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,12 +21,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .tables import id_crc, map_batches
+from .tables import id_crc, map_batches, written
 
 ORDERS = (3, 5)
 SLOT_BITS, HASHES = 22, 3
 COVER = 0.9
-SAMPLE_DOCS, SAMPLE_CHARS = 2000, 20_000
+SAMPLE_DOCS = 2000
 MAX_LANGS = 64
 UNKNOWN = "und"
 #: Characters of text that go through numpy at once.
@@ -62,6 +62,17 @@ def letters_of(text: str) -> np.ndarray:
     return points[keep]
 
 
+def parts_of(text: str) -> Iterator[str]:
+    """The text in parts of about PART characters, cut between words (a word of more than PART letters is cut)."""
+    at = 0
+    while at < len(text) or not at:
+        end = min(at + PART, len(text))
+        while end < min(at + 2 * PART, len(text)) and text[end - 1].isalpha() and text[end].isalpha():
+            end += 1
+        yield text[at:end]
+        at = max(end, 1)
+
+
 def ngram_hashes(points: np.ndarray, order: int) -> np.ndarray:
     """A 64-bit hash of each n-gram; those that would cross a space inside are left out."""
     n = len(points) - order + 1
@@ -104,8 +115,8 @@ class Model:
     def shares(self, text: str) -> np.ndarray | None:
         """Per language the corrected share of the text's n-grams; None without letters."""
         total, counts = 0, np.zeros(len(self.langs))
-        for at in range(0, max(1, len(text)), PART):
-            points = letters_of(text[at : at + PART])
+        for part in parts_of(text):
+            points = letters_of(part)
             for order in ORDERS:
                 h = ngram_hashes(points, order)
                 if len(h):
@@ -135,22 +146,32 @@ class Model:
         return self.langs[best], float(shares[best])
 
 
-def _profiles(texts: list[str]) -> np.ndarray:
-    """The most frequent n-grams that make up COVER of all occurrences, by order."""
-    kept = []
-    for order in ORDERS:
-        found = [ngram_hashes(letters_of(t), order) for t in texts]
-        values, counts = np.unique(np.concatenate(found or [np.empty(0, np.uint64)]), return_counts=True)
-        if len(values):
-            rank = np.lexsort((values, -counts))
-            upto = np.searchsorted(np.cumsum(counts[rank]), COVER * counts.sum()) + 1
-            kept.append(values[rank[:upto]])
-    return np.concatenate(kept) if kept else np.empty(0, np.uint64)
+_COUNTS = "lang string, ngram_order int, h long, n long"
+
+
+def _ngram_counts():
+    def one(batch):
+        for lang in sorted(set(batch.column(0).to_pylist())):
+            texts = [t for g, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if g == lang]
+            for order in ORDERS:
+                found = [ngram_hashes(letters_of(p), order) for t in texts for p in parts_of(t)]
+                h, n = np.unique(np.concatenate([np.empty(0, np.uint64), *found]), return_counts=True)
+                cols = [pa.array([lang] * len(h), pa.string()), pa.array(np.full(len(h), order, np.int32)), pa.array(h.view(np.int64)), pa.array(n)]
+                yield pa.RecordBatch.from_arrays(cols, [c.split()[0] for c in _COUNTS.split(", ")])
+
+    return one
+
+
+def _profile(h: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The most frequent n-grams that make up COVER of all occurrences; ties go to the least hash."""
+    rank = np.lexsort((h, -n))
+    return h[rank[: np.searchsorted(np.cumsum(n[rank]), COVER * n.sum()) + 1]]
 
 
 def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Model:
     """Learn from rows with text and label. The sample is the SAMPLE_DOCS rows a language whose text has
-    the least hash, so it does not depend on order or partitioning; SAMPLE_CHARS of each are read."""
+    the least hash, so it does not depend on order or partitioning; their texts are read whole. Rows without text or
+    label teach nothing, repeated rows count each; no rows give a model of no language."""
     rows = labelled.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.col(text_col)).alias("h"), F.col(text_col).alias("text")
     )
@@ -160,16 +181,21 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") ->
     langs = sorted(counts)
     dtype = next(d for d in (np.uint8, np.uint16, np.uint32, np.uint64) if np.iinfo(d).bits >= len(langs))
     slices = np.zeros(1 << SLOT_BITS, dtype)
+    if not langs:
+        return Model(langs, slices)
     # the hash up to which a language has about half as many rows again as are taken, from its count alone
     cuts = {lang: int(-(2**63) + 2**64 * min(1.0, 1.5 * SAMPLE_DOCS / n)) - 1 for lang, n in counts.items()}
     cut = F.coalesce(*[F.when(F.col("lang") == lang, F.lit(c)) for lang, c in cuts.items()], F.lit(-(2**63)))
-    near = rows.filter(F.col("h") <= cut).select("lang", "h", F.substring("text", 1, SAMPLE_CHARS).alias("text"))
     nth = F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))
-    sample = near.withColumn("nth", nth).filter(F.col("nth") <= SAMPLE_DOCS).select("lang", "text").orderBy("lang", "text")
-    # one language after another, so that the driver holds the texts of one
-    for lang, texts in groupby(sample.toLocalIterator(), key=lambda r: r["lang"]):
-        for s in slots_of(_profiles([r["text"] for r in texts])):
-            slices[s] |= dtype(1 << langs.index(lang))
+    sample = rows.filter(F.col("h") <= cut).withColumn("nth", nth).filter(F.col("nth") <= SAMPLE_DOCS).select("lang", "text")
+    spread = sample.repartition("lang", F.xxhash64("text") % 16)
+    ngrams = written(map_batches(spread, _ngram_counts, _COUNTS).groupBy("lang", "ngram_order", "h").agg(F.sum("n").alias("n")), "ngrams")
+    for lang in langs:  # one after another, so that the driver holds the n-grams of one
+        for order in ORDERS:
+            own = ngrams.filter((F.col("lang") == lang) & (F.col("ngram_order") == order)).select("h", "n").toArrow()
+            h, n = own.column("h").to_numpy().view(np.uint64), own.column("n").to_numpy()
+            for s in slots_of(_profile(h, n)) if len(h) else ():
+                slices[s] |= dtype(1 << langs.index(lang))
     return Model(langs, slices)
 
 
