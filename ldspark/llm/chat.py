@@ -2,7 +2,7 @@
 
 A record's layout is the sorted set of its nested field paths, and its fingerprint the xxhash64 of
 that. LAYOUTS declares, for each known layout, how to read turns; a record column that is typed has one
-fingerprint for the table, a JSON column one for each row. The turns then go into a template whose
+layout for the table, a JSON column has a fingerprint for each row. The turns then go into a template whose
 control strings cannot occur in a text, because those in texts are escaped reversibly.
 
 Only DataFrame functions: no Python runs on the executors.
@@ -10,6 +10,7 @@ Only DataFrame functions: no Python runs on the executors.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -31,10 +32,12 @@ class Layout:
     paths: tuple[str, ...]
     many: tuple[str, str, str] | None = None
     single: tuple[tuple[str, str], ...] = ()
+    #: Roles stay as they are written.
+    own_roles: bool = False
 
 
 LAYOUTS = (
-    Layout("turn rows", ("rows[].role", "rows[].text", "rows[].turn"), ("rows", "role", "text")),
+    Layout("turn rows", ("rows[].role", "rows[].text", "rows[].turn"), ("rows", "role", "text"), own_roles=True),
     Layout("messages", ("messages[].content", "messages[].role"), ("messages", "role", "content")),
     Layout("from and value", ("conversations[].from", "conversations[].value"), ("conversations", "from", "value")),
     Layout("instruction", ("input", "instruction", "output"), single=(("user", "instruction"), ("user", "input"), ("assistant", "output"))),
@@ -56,11 +59,26 @@ def field_paths(kind: T.DataType, at: str = "") -> list[str]:
 
 
 def fingerprint_of(paths) -> Column:
-    return F.xxhash64(F.lit("\n".join(sorted(paths))))
+    return F.xxhash64(F.lit(nested(sorted(paths))))
 
 
-def _canonical(role: Column) -> Column:
+def nested(paths: list[str]) -> str:
+    """Sorted field paths as one nested type whose scalars are all alike."""
+    if paths == [""]:
+        return "*"
+    if all(p.startswith("[]") for p in paths):
+        return f"ARRAY<{nested([p[2:].removeprefix('.') for p in paths])}>"
+    inner: dict[str, list[str]] = {}
+    for p in paths:
+        name = re.match(r"[^.\[]*", p)[0]
+        inner.setdefault(name, []).append(p[len(name) :].removeprefix("."))
+    return "OBJECT<" + ", ".join(f"{k}: {nested(v)}" for k, v in inner.items()) + ">"
+
+
+def _role(role: Column, layout: Layout) -> Column:
     role = F.coalesce(role.cast("string"), F.lit(""))
+    if layout.own_roles:
+        return role
     known = F.create_map(*[F.lit(x) for kv in ROLES.items() for x in kv])
     return F.coalesce(F.element_at(known, F.lower(role)), role)
 
@@ -72,7 +90,7 @@ def _turn(role: Column, text: Column) -> Column:
 def _read_typed(record: Column, layout: Layout) -> Column:
     if layout.many:
         at, role, text = layout.many
-        return F.transform(record[at], lambda t: _turn(_canonical(t[role]), t[text]))
+        return F.transform(record[at], lambda t: _turn(_role(t[role], layout), t[text]))
     turns = F.array(*[F.when(record[p].isNotNull() | (role == "assistant"), _turn(F.lit(role), record[p])) for role, p in layout.single])
     return F.filter(turns, lambda t: t.isNotNull())
 
@@ -86,25 +104,30 @@ def typed_turns(df: DataFrame, record: str) -> Column:
     raise ValueError(f"no mapping for fields {paths}")
 
 
+_STRING = r'(?:[^"\\]++|\\.)*+'
+#: A field's name with its colon, or a string that is a value, of which only the quotes are kept.
+_NAME_OR_VALUE, _EMPTIED = f'("{_STRING}"\\s*:)|("){_STRING}(")', "$1$2$3"
+#: How the type of a scalar is written, where no field's name can stand.
+_SCALAR = r"(?<=: |<|^)(?:STRING|BIGINT|DOUBLE|FLOAT|BOOLEAN|VOID|VARIANT|DECIMAL\(\d+,\s*\d+\))(?=[,>]|$)"
+
+
 def json_fingerprint(record: Column) -> Column:
-    """Of a JSON record: nested field paths of up to two levels, which is what LAYOUTS has."""
-    fields = F.from_json(record, "map<string, string>")
-    keys = F.coalesce(F.json_object_keys(record), F.array().cast("array<string>"))
+    """Of a JSON record: its nested field paths, at any depth and over all elements of its arrays. Values don't
+    matter, so strings are emptied first and records of any length are parsed."""
+    kind = F.schema_of_variant(F.try_parse_json(F.regexp_replace(record, _NAME_OR_VALUE, _EMPTIED)))
+    return F.xxhash64(F.regexp_replace(kind, _SCALAR, "*"))
 
-    def below(k: Column) -> Column:
-        inner = F.get(F.from_json(F.element_at(fields, k), "array<string>"), F.lit(0))
-        inside = F.json_object_keys(inner)
-        return F.when(F.size(inside) > 0, F.transform(inside, lambda x: F.concat(k, F.lit("[]."), x))).otherwise(F.array(k))
 
-    return F.xxhash64(F.array_join(F.array_sort(F.flatten(F.transform(keys, below))), "\n"))
+#: Texts in records may have up to 2 GB.
+_LONG = {"maxStringLen": str(2**31 - 1)}
 
 
 def _read_json(record: Column, layout: Layout) -> Column:
     if layout.many:
         at, role, text = layout.many
-        turns = F.from_json(record, T.StructType([T.StructField(at, T.ArrayType(T.StructType([T.StructField(role, T.StringType()), T.StructField(text, T.StringType())])))]))
-        return F.transform(turns[at], lambda t: _turn(_canonical(t[role]), t[text]))
-    fields = F.from_json(record, T.StructType([T.StructField(p, T.StringType()) for _, p in layout.single]))
+        turns = F.from_json(record, T.StructType([T.StructField(at, T.ArrayType(T.StructType([T.StructField(role, T.StringType()), T.StructField(text, T.StringType())])))]), _LONG)
+        return F.transform(turns[at], lambda t: _turn(_role(t[role], layout), t[text]))
+    fields = F.from_json(record, T.StructType([T.StructField(p, T.StringType()) for _, p in layout.single]), _LONG)
     return F.filter(F.array(*[F.when(fields[p].isNotNull() | (role == "assistant"), _turn(F.lit(role), fields[p])) for role, p in layout.single]), lambda t: t.isNotNull())
 
 
@@ -172,11 +195,12 @@ def format_chats(df: DataFrame, key: str, record: str) -> DataFrame:
 
 
 def records_of_rows(rows: DataFrame) -> DataFrame:
-    """One record for each conversation from rows (conv_id, turn, role, text): its turns by number, ties by
+    """One JSON record for each conversation from rows (conv_id, turn, role, text): its turns by number, ties by
     role and text; null turns first. Repeated rows are repeated turns. A conversation is one row of the
     result, so it has to fit in memory, as its formatted string must."""
     picked = rows.select(F.col("conv_id").cast("long").alias("conv_id"), F.struct(F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text")).alias("r"))
-    return picked.groupBy("conv_id").agg(F.struct(F.array_sort(F.collect_list("r")).alias("rows")).alias("record"))
+    record = F.to_json(F.struct(F.array_sort(F.collect_list("r")).alias("rows")), {"ignoreNullFields": "false"})
+    return picked.groupBy("conv_id").agg(record.alias("record"))
 
 
 def chat_digests(formatted: DataFrame) -> DataFrame:

@@ -252,6 +252,40 @@ def test_language_id(spark):
     assert {x["lang_pred"] for x in langid.identify(df, none, ["doc_id"]).collect()} == {langid.UNKNOWN}
 
 
+def test_language_equals_exact_sets(spark):
+    """The filter's corrected shares against sets of the same n-grams; long texts, cut in parts."""
+    r = random.Random(7)
+    of = {"aa": "abcdefgh", "bb": "efghijkl", "cc": "klmnoabc"}
+    prose_of = lambda g, n: " ".join("".join(r.choices(of[g], k=r.randint(2, 7))) for _ in range(n))
+    rows = [(d, prose_of(g, r.randint(5, 300)), g) for d, g in enumerate(["aa", "bb", "cc"] * 40)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+
+    def ngrams(text, k):
+        t = " " + re.sub(r"[^a-z]+", " ", text.lower()).strip() + " "
+        return [t[i : i + k] for i in range(len(t) - k + 1) if " " not in t[i + 1 : i + k - 1]]
+
+    sure, maybe = {g: set() for g in of}, {g: set() for g in of}  # n-grams as rare as the last one that is taken may be left out
+    for g in of:
+        for k in langid.ORDERS:
+            c = Counter(x for _, t, h in rows if h == g for x in ngrams(t, k))
+            total, seen, last = sum(c.values()), 0, 0
+            for _, last in c.most_common():
+                seen += last
+                if seen >= langid.COVER * total:
+                    break
+            sure[g] |= {x for x, n in c.items() if n > last}
+            maybe[g] |= {x for x, n in c.items() if n >= last}
+    for text in [t for _, t, _ in rows[:30]] + [prose_of("aa", 50) + " " + prose_of("bb", 20), "x", "ab, cd"]:
+        all_ = [x for k in langid.ORDERS for x in ngrams(text, k)]
+        lang, score = model.predict(text)
+        if all_:
+            low, high = ({g: sum(x in known[g] for x in all_) / len(all_) for g in of} for known in (sure, maybe))
+            assert max(low.values()) - 0.02 <= score <= high[lang] + 0.02
+    long = prose_of("bb", 600_000)
+    assert len(long) > langid.PART and "".join(langid.parts_of(long)) == long and model.predict(long)[0] == "bb"
+    assert all(" " in p[-1] + q[0] for p, q in zip([*langid.parts_of(long)], [*langid.parts_of(long)][1:], strict=False))
+
+
 def test_bloom_slices_name_all_languages():
     langs = [f"l{k}" for k in range(11)]
     slices = np.zeros(1 << langid.SLOT_BITS, np.uint16)
@@ -289,11 +323,13 @@ def test_chat_layouts(spark):
     tables.prepare(spark)
     rows = [('{"messages":[{"role":"user","content":"a"},{"role":"assistant","content":"b"}]}', ["user:a", "assistant:b"]), ('{"conversations":[{"from":"human","value":"a"},{"from":"gpt","value":"b"}]}', ["user:a", "assistant:b"]),
             ('{"instruction":"i","input":"j","output":"o"}', ["user:i", "user:j", "assistant:o"]), ('{"prompt":"p","completion":"c"}', ["user:p", "assistant:c"]), ('{"response":"r","system":"s","prompt":null}', ["system:s", "assistant:r"]),
-            ('{"answer":"a","question":"q"}', ["user:q", "assistant:a"]), ('{"other":1}', None), ("no json", None), (None, None), ("", None)]
+            ('{"answer":"a","question":"q"}', ["user:q", "assistant:a"]), ('{"messages":[{"content":"a"},{"role":"human","content":null}]}', [":a", "user:"]),
+            ('{"prompt": "[{\\"x\\": 1}] \\\\" , "response" :"{\\"a\\":\\"b\\"}"}', ['user:[{"x": 1}] \\', 'assistant:{"a":"b"}']), ('{"messages":[{"role":"user","content":["a"]}]}', None),
+            ('{"rows":[{"turn":1,"role":"human","text":"x"}]}', ["human:x"]), ('{"other":1}', None), ("no json", None), (None, None), ("", None)]
     df = spark.createDataFrame([(k, r[0]) for k, r in enumerate(rows)], "id long, record string")
     found = {x["id"]: x["t"] for x in df.select("id", chat.json_turns(F.col("record")).alias("t")).collect()}
     assert [found[k] and [f"{t['role']}:{t['text']}" for t in found[k]] for k in range(len(rows))] == [r[1] for r in rows]
-    assert chat.format_chats(df, "id", "record").filter("formatted IS NULL").count() == 4
+    assert chat.format_chats(df, "id", "record").filter("formatted IS NULL").count() == 5
     typed = spark.createDataFrame([(1, (("x", "y")))], "id long, record struct<completion: string, prompt: string>")
     assert chat.format_chats(typed, "id", "record").collect()[0]["formatted"] == "<turn>user\ny</turn>\n<turn>assistant\nx</turn>\n"
     with pytest.raises(ValueError):
@@ -580,6 +616,31 @@ def test_the_model_finds_held_out_entities():
 # --- 10 media ------------------------------------------------------------------------------------------
 
 
+def brute_pairs(raw):
+    """Fingerprint by plain loops over frames, bands and peaks."""
+    signal = [b - 128.0 for b in raw]
+    signal += [0.0] * (max(0, media.FRAME - len(signal)) or -(len(signal) - media.FRAME) % media.HOP)
+    window = [0.5 - 0.5 * math.cos(2 * math.pi * k / (media.FRAME - 1)) for k in range(media.FRAME)]
+    best = []
+    for at in range(0, len(signal) - media.FRAME + 1, media.HOP):
+        power = np.abs(np.fft.rfft([s * w for s, w in zip(signal[at : at + media.FRAME], window, strict=True)])) ** 2
+        best.append([max((power[k], -k) for k in range(lo, hi)) for lo, hi in media.BANDS])
+    peaks = []
+    for t in range(len(best)):
+        for band in range(len(media.BANDS)):
+            p = best[t][band][0]
+            if p > (best[t - 1][band][0] if t else 0) and p >= (best[t + 1][band][0] if t + 1 < len(best) else 0) and p > 1e-3:
+                peaks.append((t, -best[t][band][1]))
+    return sorted((t << 32) | (f << 20) | (g << 8) | (u - t) for k, (t, f) in enumerate(peaks) for u, g in peaks[k + 1 : k + 1 + media.FAN_OUT] if u - t <= media.MAX_GAP)
+
+
+def test_fingerprints_equal_plain_loops():
+    rng = np.random.default_rng(3)
+    for n in (64, 256, 320, 1000, 6400):
+        raw = rng.integers(0, 256, n, np.uint8)
+        assert media.fingerprint(raw).tolist() == brute_pairs(raw.tolist())
+
+
 def test_media(spark):
     rows = media.media_digests(frame(spark, ODD)).collect()
     assert len(rows) == len(ODD)
@@ -595,6 +656,10 @@ def test_media(spark):
     full = {x["doc_id"]: x for x in media.media_columns(frame(spark, {7: LONG, 1: None})).collect()}
     with wave.open(io.BytesIO(bytes(full[7]["media"]))) as w:
         assert w.readframes(w.getnframes()).startswith(LONG.encode())
+    assert rows[0].__fields__[7:] == ["feature", "n_pairs"]
+    for x in rows:
+        codes = [int(x["feature"][k : k + 16], 16) for k in range(0, len(x["feature"]), 16)]
+        assert len(codes) == x["n_pairs"] and (x["doc_id"] not in full or codes == full[x["doc_id"]]["fingerprint"])
     assert len(full[7]["fingerprint"]) > 100 and len(full[1]["media"]) == 108 and full[7]["fingerprint"] == sorted(full[7]["fingerprint"])
     assert media.media_columns(frame(spark, [])).count() == 0
 
