@@ -28,13 +28,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .graph import components
-from .tables import map_batches, written
+from .tables import map_batches, tidy, written
 from .words import mix, shingle_hashes, word_hashes
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 4
 #: A block ends with so many shingles or documents; a bucket has about so many entries.
-BLOCK_SHINGLES, BLOCK_DOCS, BUCKET_ENTRIES = 2_000_000, 60_000, 1_500_000
+BLOCK_SHINGLES, BLOCK_DOCS, BUCKET_ENTRIES = 1_200_000, 60_000, 1_200_000
 SEVERAL = 4
 #: Characters that a shingle takes on average, to choose the number of buckets.
 CHARS = 5
@@ -145,6 +145,8 @@ def _deal(buckets: int):
         if block.docs:
             for row in block.rows((part << 24) + n, buckets):
                 yield _batch([row], _PACKED)
+        del block
+        tidy()
 
     return run
 

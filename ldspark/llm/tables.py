@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import time
@@ -96,6 +97,15 @@ def delete(spark: SparkSession, paths: list[str]) -> None:
     paths.clear()
 
 
+def tidy() -> None:
+    """Give memory that a finished task has let go back to the system: the worker process lives on."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def map_batches(df: DataFrame, make: Callable[[], Callable], schema: str) -> DataFrame:
     """df through a function of Arrow record batches; make() runs once for each task."""
 
@@ -104,7 +114,7 @@ def map_batches(df: DataFrame, make: Callable[[], Callable], schema: str) -> Dat
         for batch in batches:
             if batch.num_rows:
                 yield from f(batch)
-        pa.default_memory_pool().release_unused()  # the worker process lives on
+        tidy()
 
     return df.mapInArrow(run, schema)
 
