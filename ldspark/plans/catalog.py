@@ -297,10 +297,13 @@ def queries() -> dict:
     def shipped(query):
         return lambda spark, sf_dir: query(ship(spark), sf_dir)
 
-    return {q.__name__: shipped(q) for q in QUERIES}
+    from .file_queries import QUERIES as of_files
+
+    return {q.__name__: shipped(q) for q in (*QUERIES, *of_files)}
 
 
 def oracle_sql() -> dict[str, str]:
+    from .file_queries import ORACLES
     from .oracles import SQL
 
-    return dict(SQL)
+    return SQL | ORACLES

@@ -102,6 +102,14 @@ def write_mean_bins(rows: DataFrame, path: str) -> None:
             f.write("\t".join(str(r["bin_end"]) if c is None else "NA" if r[c] is None else repr(r[c]) for c in (None, "mean_rr", "mean_d", "sum_rr", "sum_d")) + f"\t{r['n']}\n")
 
 
+def write_curve(rows: DataFrame, path: str) -> None:
+    """x and value of a summary, short bins before long ones where it has both."""
+    keys = [c for c in ("is_long", "x") if c in rows.columns]
+    with _file(path) as f:
+        for r in rows.orderBy(*keys).toLocalIterator():
+            f.write(f"{r['x']}\t{r['value']!r}\n")
+
+
 def haploview_rows(calls: DataFrame, bases: tuple[str, str] = ("A", "C")) -> DataFrame:
     """(sample_idx, hap, alleles): two rows a sample, its alleles by position as bases, 0 where missing."""
     base = lambda c: F.when(F.col("miss"), "0").when(F.col(c) == "0", bases[0]).when(F.col(c) == "1", bases[1]).otherwise(F.col(c))

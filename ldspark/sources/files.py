@@ -32,16 +32,25 @@ Groups = list[tuple[str, list[int] | None]]
 
 
 def lines_of(spark: SparkSession, path: str, partitions: int | None = None) -> DataFrame:
-    """(seq, value) of a text file in any compression Spark reads, seq counting from 0."""
-    rows = spark.read.text(path).rdd.map(lambda r: r[0]).zipWithIndex().toDF("value string, seq long")
-    return rows.repartition(partitions or spark.sparkContext.defaultParallelism, "seq") if path.endswith((".gz", ".bgz")) else rows
+    """(seq, value) of a text file in any compression Spark reads, seq counting from 0. Lines are numbered by their
+    place in a split after the lines of the splits before it, which are counted first."""
+    rows = spark.read.text(path).withColumn("__id", F.monotonically_increasing_id())
+    split, place = F.shiftright("__id", 33), F.col("__id").bitwiseAND((1 << 33) - 1)
+    counts = {r["split"]: r["n"] for r in rows.groupBy(split.alias("split")).agg(F.count("*").alias("n")).collect()}  # a row for each split
+    before, starts = 0, []
+    for k in range(max(counts, default=-1) + 1):
+        starts.append(before)
+        before += counts.get(k, 0)
+    start = F.get(F.split(F.lit(" ".join(map(str, starts)) or "0"), " ").cast("array<long>"), split.cast("int"))
+    out = rows.select("value", (start + place).alias("seq"))
+    return out.repartition(partitions or spark.sparkContext.defaultParallelism, "seq") if path.endswith((".gz", ".bgz")) else out
 
 
 def _row(grp: str, contig: str, pos: int, seq: int, rank: int, n: int, site: Site, line: str | None) -> tuple:
     kept = site.reason is None
     minor = site.minor.tolist() if kept else None
     miss = site.miss.tolist() if kept else None
-    ones = int(np.bitwise_count(site.minor).sum()) if kept else None
+    ones = int(np.bitwise_count(site.minor.view("<u8")).sum()) if kept else None  # of signed words it counts absolute values
     return grp, contig, pos, seq, rank, 2 * n, minor, miss, ones, bool(site.miss.any()) if kept else None, site.reason, line
 
 

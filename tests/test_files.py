@@ -235,3 +235,57 @@ def test_store_prunes(spark, tmp_path, rows):
     plan = one._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(contig" in plan and "GreaterThanOrEqual(pos" in plan
     assert {r["dist"]: r["n"] for r in aggregates.decay(all_back, 1, 10_000, 40).collect()} == {r["dist"]: r["n"] for r in aggregates.decay(sites, 1, 10_000, 40).collect()}
+
+
+def test_minor_count_with_the_64th_haplotype(spark, tmp_path):
+    """Words are signed; the last haplotype is the sign."""
+    calls = ["0|0"] * 30 + ["0|1"] * 2
+    line = "\t".join(["c", "100", ".", "A", "C", ".", ".", ".", "GT", *calls])
+    (tmp_path / "a.vcf").write_text("#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\t" + "\t".join(f"s{k}" for k in range(32)) + "\n" + line + "\n")
+    row = files.kept(files.read_vcf(spark, str(tmp_path / "a.vcf"), LdConfig(maf=0.01))).collect()[0]
+    assert row["minor_count"] == 2 and row["minor"][0] < 0
+
+
+def test_lines_are_numbered_over_splits(spark, tmp_path):
+    text = [f"line {k}" for k in range(5000)]
+    (tmp_path / "t.txt").write_text("\n".join(text) + "\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "5000")
+    try:
+        rows = files.lines_of(spark, str(tmp_path / "t.txt"))
+        assert [r["value"] for r in sorted(rows.collect(), key=lambda r: r["seq"])] == text and sorted(r["seq"] for r in rows.collect()) == list(range(5000))
+        assert "Python" not in rows._jdf.queryExecution().toString()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    (tmp_path / "empty").write_text("")
+    assert files.lines_of(spark, str(tmp_path / "empty")).count() == 0
+
+
+def test_rebin_command_line(spark, tmp_path):
+    import gzip
+
+    from ldspark import rebin_cli, sinks
+
+    bins = spark.createDataFrame([(9, 1, 0.5, 0.5, 1.0, 1.0), (10, 2, 1.0, 0.5, 1.0, 0.5), (99, 1, 0.25, 0.25, 0.5, 0.5), (100, 4, 1.0, 0.25, None, None), (150, 1, 0.1, 0.1, None, None)],
+                                 "dist long, n long, sum_rr double, mean_rr double, sum_d double, mean_d double")
+    sinks.write_bins(bins, str(tmp_path / "a.stat.gz"))
+    sinks.write_bins(bins, str(tmp_path / "b.stat.gz"))
+    (tmp_path / "list").write_text(f"{tmp_path}/a.stat.gz\tp\n{tmp_path}/b.stat.gz\tp\n")
+    out = rebin_cli.execute(spark, rebin_cli.parse(["-inList", f"{tmp_path}/list", "-output", f"{tmp_path}/o"]))
+    with gzip.open(out["bin p"], "rt") as f:
+        rows = [line.split("\t") for line in f.read().splitlines()[1:]]
+    assert [r[0] for r in rows] == ["10", "20", "100", "200"] and [int(r[5]) for r in rows] == [2, 4, 2, 10] and rows[3][2] == "NA" and float(rows[0][1]) == 0.5
+    hist = spark.createDataFrame([(5, 10, 3, 1), (5, 90, 1, 3), (250, 20, 2, 2)], "dist long, bucket int, n_rr long, n_d long")
+    sinks.write_histogram(hist, str(tmp_path / "h.stat.gz"), 4, 64)
+    for method, want in (("MedianBin", [("0", 0.1), ("200", 0.2)]), ("PercentileBin", [("0", 0.9), ("200", 0.2)])):
+        cfg = rebin_cli.parse(["-inFile", f"{tmp_path}/h.stat.gz", "-output", f"{tmp_path}/q", "-method", method, "-percent", "1", "-measure", "both"])
+        out = rebin_cli.execute(spark, cfg)
+        with gzip.open(out[f"{method} r2 "], "rt") as f:
+            assert [(x, float(v)) for x, v in (line.split("\t") for line in f.read().splitlines())] == want
+        assert len(out) == 2
+    out = rebin_cli.execute(spark, rebin_cli.parse(["-inFile", f"{tmp_path}/h.stat.gz", "-output", f"{tmp_path}/w", "-method", "HW"]))
+    with gzip.open(out["HW r2 "], "rt") as f:
+        assert len(f.read().splitlines()) == 2
+    assert rebin_cli.main(["-inFile", "x"]) == rebin_cli.main(["-help"]) == 1
+    with pytest.raises(ValueError):
+        rebin_cli.execute(spark, rebin_cli.parse(["-inFile", f"{tmp_path}/a.stat.gz", "-output", "x", "-method", "HW"]))
