@@ -6,7 +6,7 @@ import sys
 
 from . import config
 
-USAGE = """options: -InVCF/-i FILE | -InGenotype FILE | -InPlink PREFIX, -OutStat/-o PREFIX, -SubPop/-s LIST (repeatable),
+USAGE = """options: -InVCF/-i FILE | -InGenotype FILE | -InPlink PREFIX | -InSites FOLDER (of -OutSites FOLDER), -OutStat/-o PREFIX, -SubPop/-s LIST (repeatable),
 -MAF .005, -Het .88, -Miss .25, -MaxDist 300 (kb), -OutType 0..8 (1), -EHH chr:pos, -OutFilterSNP, -L/-Region BED|chr:a-b,..,
 -T/-Threads 4 (local cores), -Method 1, -help"""
 

@@ -22,6 +22,8 @@ class LdConfig:
     in_vcf: str | None = None
     in_genotype: str | None = None
     in_plink: str | None = None
+    in_sites: str | None = None
+    out_sites: str | None = None
     out_stat: str | None = None
     sub_pop: tuple[str, ...] = ()
     maf: float = 0.005
@@ -41,8 +43,10 @@ class LdConfig:
         return self.max_kb * 1000
 
     def checked(self) -> LdConfig:
-        if not (self.in_vcf or self.in_genotype or self.in_plink):
-            raise OptionError("an input is needed: -InVCF, -InGenotype or -InPlink")
+        if not (self.in_vcf or self.in_genotype or self.in_plink or self.in_sites):
+            raise OptionError("an input is needed: -InVCF, -InGenotype, -InPlink or -InSites")
+        if self.in_sites and (self.in_vcf or self.in_genotype or self.in_plink or self.out_filter):
+            raise OptionError("-InSites can't be combined with another input or -OutFilterSNP")
         if self.in_plink and (self.in_vcf or self.in_genotype):
             raise OptionError("-InPlink can't be combined with another input")
         if not self.out_stat:
@@ -83,7 +87,7 @@ def _core(text: str) -> str:
 
 #: Option names without dashes: field and reader (None: a flag).
 OPTIONS = {
-    "InVCF": ("in_vcf", str), "i": ("in_vcf", str), "InGenotype": ("in_genotype", str), "InPlink": ("in_plink", str),
+    "InVCF": ("in_vcf", str), "i": ("in_vcf", str), "InGenotype": ("in_genotype", str), "InPlink": ("in_plink", str), "InSites": ("in_sites", str), "OutSites": ("out_sites", str),
     "OutStat": ("out_stat", str), "o": ("out_stat", str), "SubPop": ("sub_pop", str), "s": ("sub_pop", str),
     "MAF": ("maf", rate), "Het": ("het", rate), "Miss": ("miss", rate), "MaxDist": ("max_kb", whole),
     "OutType": ("out_type", _out_type), "OutPairLD": ("out_type", _out_type), "EHH": ("ehh", _core), "OutFilterSNP": ("out_filter", None),

@@ -26,16 +26,17 @@ def _words(col: str, n: int) -> list[Column]:
     return [F.get(F.col(col), F.lit(k)) for k in range(n)]
 
 
-def pair_tables(sites: DataFrame, max_dist: int, n_hap: int | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+def pair_tables(sites: DataFrame, max_dist: int, n_hap: int | None = None, keep: tuple[str, ...] = (), behind: DataFrame | None = None) -> DataFrame:
     """(grp, contig, p1, p2, dist, n00, n01, n10, n11) of all pairs with 0 < dist <= max_dist.
 
     n_hap: haplotypes if all groups have that many, which lets the popcounts unroll. Missing haplotypes
-    are left out pair by pair. No sites give no pairs. keep: site columns to carry as <name>1, <name>2."""
+    are left out pair by pair. No sites give no pairs. keep: site columns to carry as <name>1, <name>2.
+    behind: the sites that are second in a pair, if not the same ones."""
     cols = ["pos", "n_hap", "minor", "miss", "minor_count", "has_missing", *keep]
     bucket = F.floor(F.col("pos") / max_dist).cast("long")
     left = sites.select("grp", "contig", *[F.col(c).alias(f"l_{c}") for c in cols], F.explode(F.array(bucket, bucket + 1)).alias("bucket"))
     # both sides explode, so that nothing is pushed into only one of them and the sites are made once
-    right = sites.select("grp", "contig", *[F.col(c).alias(f"r_{c}") for c in cols], F.explode(F.array(bucket)).alias("bucket"))
+    right = (sites if behind is None else behind).select("grp", "contig", *[F.col(c).alias(f"r_{c}") for c in cols], F.explode(F.array(bucket)).alias("bucket"))
     dist = F.col("r_pos") - F.col("l_pos")
     joined = left.join(right, ["grp", "contig", "bucket"]).filter((dist > 0) & (dist <= max_dist))
     clean = ~F.col("l_has_missing") & ~F.col("r_has_missing")

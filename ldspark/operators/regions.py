@@ -6,7 +6,7 @@ import gzip
 import os
 import warnings
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: The end of a region that has none.
@@ -61,17 +61,22 @@ def region_frame(spark: SparkSession, regions: list[tuple[str, int, int, str]])
     return spark.createDataFrame(regions, SCHEMA)
 
 
+#: Up to so many regions are broadcast; beyond, they are shuffled by contig.
+BROADCAST_REGIONS = 1_000_000
+
+
 def assign(sites: DataFrame, regions: DataFrame, strict_compat: bool = True) -> DataFrame:
     """sites inside a region, with the region's label as contig.
 
     strict_compat: only the region with the largest start at or before the position is looked at, so an
-    enclosing region does not take over behind the end of an inner one; without it a site goes to every
-    region that holds it. regions is a small table given by the user and is broadcast."""
-    r = F.broadcast(regions.select(F.col("contig").alias("__c"), F.col("start").alias("__s"), F.col("end").alias("__e"), F.col("label").alias("__l")))
-    joined = sites.join(r, (F.col("contig") == F.col("__c")) & (F.col("pos") >= F.col("__s")))
+    enclosing region does not take over behind the end of an inner one; then a region reaches up to the next
+    one's start at most and a site meets one. Without it a site goes to every region that holds it."""
+    ends = F.col("end")
     if strict_compat:
-        cols = sites.columns
-        keyed = joined.withColumn("__id", F.struct(*cols))
-        last = keyed.groupBy("__id").agg(F.max(F.struct("__s", "__e", "__l")).alias("r"))
-        joined = last.select("__id.*", F.col("r.__e").alias("__e"), F.col("r.__l").alias("__l"))
-    return joined.filter(F.col("pos") <= F.col("__e")).withColumn("contig", F.col("__l")).select(*sites.columns)
+        following = F.lead("start").over(Window.partitionBy("contig").orderBy("start", "end", "label"))
+        regions = regions.withColumn("next", following)
+        ends = F.least(F.col("end"), F.col("next") - 1)  # least leaves nulls out
+    r = regions.select(F.col("contig").alias("__c"), F.col("start").alias("__s"), ends.alias("__e"), F.col("label").alias("__l"))
+    r = F.broadcast(r) if regions.count() <= BROADCAST_REGIONS else r
+    joined = sites.join(r, (F.col("contig") == F.col("__c")) & F.col("pos").between(F.col("__s"), F.col("__e")))
+    return joined.withColumn("contig", F.col("__l")).select(*sites.columns)

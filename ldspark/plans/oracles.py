@@ -143,6 +143,18 @@ acc AS (SELECT *, sum(l) OVER (PARTITION BY contig, p1, p2 ORDER BY i) AS up, su
 SELECT contig, p1, p2, coalesce(min(i) FILTER (WHERE up > cut AND up - l < cut) - 1, 0) AS low,
   coalesce(least(max(i) FILTER (WHERE down > cut AND down - l < cut) + 1, 100), 0) AS high FROM acc GROUP BY contig, p1, p2"""
 C = "0.0002 * dist"
+#: The fit's rate by bisection: the gradient of the squared error by c falls through 0 at its minimum.
+_X = "(c * dist)"
+_E = f"((10 + {_X}) / ((2 + {_X}) * (11 + {_X}))) * (1 + ((3 + {_X}) * (12 + 12 * {_X} + {_X} ** 2)) / (64 * (2 + {_X}) * (11 + {_X})))"
+HW = f"""pts AS MATERIALIZED (SELECT dist::DOUBLE AS dist, avg(rr) AS value, count(*)::DOUBLE AS weight FROM val GROUP BY dist),
+it AS (SELECT 0 AS k, 1e-9::DOUBLE AS lo, 10.0::DOUBLE AS hi UNION ALL
+  SELECT k + 1, CASE WHEN g > 0 THEN c ELSE lo END, CASE WHEN g > 0 THEN hi ELSE c END FROM (
+    SELECT k, lo, hi, c, sum(weight * (value - {_E}) * dist * (
+        (((2 + {_X}) * (11 + {_X}) - (10 + {_X}) * (13 + 2 * {_X})) / ((2 + {_X}) * (11 + {_X})) ** 2) * (1 + ((3 + {_X}) * (12 + 12 * {_X} + {_X} ** 2)) / (64 * (2 + {_X}) * (11 + {_X})))
+        + ((10 + {_X}) / ((2 + {_X}) * (11 + {_X}))) * ((12 + 12 * {_X} + {_X} ** 2 + (3 + {_X}) * (12 + 2 * {_X})) * (2 + {_X}) * (11 + {_X}) - (3 + {_X}) * (12 + 12 * {_X} + {_X} ** 2) * (13 + 2 * {_X}))
+          / (64 * ((2 + {_X}) * (11 + {_X})) ** 2))) AS g
+    FROM (SELECT k, lo, hi, sqrt(lo * hi) AS c FROM it WHERE k < 110), pts GROUP BY k, lo, hi, c)),
+rate AS (SELECT sqrt(lo * hi) AS c FROM it WHERE k = 110)"""
 
 SQL = {
     "ld_decay_r2": q(EMB, EMB_TAB, R2, bins()),
@@ -198,6 +210,7 @@ SELECT CAST(least(k // (total // 4), 3) AS INT) AS block, count(*) AS n, round(a
     "every_nth_site": q(EMB, "SELECT contig, pos FROM emb_kept WHERE seq % 7 = 0"),
     "ehh_decay": q(EMB, EHH.rsplit("\nSELECT", 1)[0], "SELECT" + EHH.rsplit("\nSELECT", 1)[1]),
     "hw_fixed_curve": q(EMB, EMB_TAB, R2, f"""SELECT DISTINCT dist, round(((10 + {C}) / ((2 + {C}) * (11 + {C}))) * (1 + ((3 + {C}) * (12 + 12 * {C} + ({C}) ** 2)) / (64 * (2 + {C}) * (11 + {C}))), 6) AS fitted FROM val"""),
+    "hw_fit_curve": q(EMB, EMB_TAB, R2, HW, f"SELECT CAST(dist AS BIGINT) AS dist, round({_E}, 6) AS fitted FROM pts, rate").replace("WITH ", "WITH RECURSIVE ", 1),
     "run_summary": """WITH t AS (SELECT th AS threads, 10.0::DOUBLE / th + r * 0.5 AS seconds FROM (VALUES (1), (2), (4)) v(th), range(3) g(r)),
 m AS (SELECT threads, avg(seconds) AS mean, stddev_samp(seconds) AS sd FROM t GROUP BY threads), o AS (SELECT mean AS one FROM m WHERE threads = 1)
 SELECT threads, round(mean, 6) AS mean, round(sd, 6) AS sd, round(one / mean, 6) AS speed_up, round(100 * one / (threads * mean), 6) AS efficiency FROM m, o""",

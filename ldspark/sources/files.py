@@ -76,13 +76,24 @@ def kept(sites: DataFrame) -> DataFrame:
 class VcfHeader:
     """Sample names, phase and ploidy from the head of a file."""
 
-    def __init__(self, names: list[str], phased: bool, haploid: bool, polyploid: bool):
-        self.names, self.phased, self.haploid, self.polyploid = names, phased, haploid, polyploid
+    def __init__(self, names: list[str], phased: bool, haploid: str | None = None, polyploid: str | None = None):
+        """haploid, polyploid: the first sample with such a call ('' if it has no name), None if there is none."""
+        self.names, self.phased, self.haploid_sample, self.polyploid_sample = names, phased, haploid, polyploid
+        self.haploid, self.polyploid = haploid is not None, polyploid is not None
 
     @property
     def ploidy_aware(self) -> bool:
         return self.haploid or self.polyploid
 
+    def messages(self) -> list[str]:
+        """What a user should know of the ploidy; nothing if all calls are diploid."""
+        out = []
+        if self.polyploid:
+            out.append(f"warning: polyploid GT detected in sample {self.polyploid_sample}; only the first two alleles count, such input is not recommended")
+        if self.haploid:
+            out.append(f"ploidy: haploid GT detected in sample {self.haploid_sample}; haploid calls count as homozygous diploid")
+        return out
+
 
 def vcf_header(spark: SparkSession, path: str) -> VcfHeader:
     """Read up to the first five records. Phase is that of the first record's first sample; ploidy looks at all
@@ -94,15 +105,17 @@ def vcf_header(spark: SparkSession, path: str) -> VcfHeader:
     names = head[0][0].rstrip("\r\n").split("\t")[9:]
     records = [r[0].split("\t")[9:] for r in head[1:]]
     phased = bool(records) and bool(records[0]) and records[0][0][1:2] == "|"
-    haploid = polyploid = False
+    haploid = polyploid = None
     for fields in records:
-        for f in fields:
+        for k, f in enumerate(fields):
             gt = f.split(":", 1)[0]
             if not set(gt) - set("./|"):
                 continue
-            marks = gt.count("/") + gt.count("|")
-            haploid |= not marks and len(gt) == 1
-            polyploid |= marks > 1
+            marks, name = gt.count("/") + gt.count("|"), names[k] if k < len(names) else ""
+            if not marks and len(gt) == 1 and haploid is None:
+                haploid = name
+            if marks > 1 and polyploid is None:
+                polyploid = name
     return VcfHeader(names, phased, haploid, polyploid)
 
 

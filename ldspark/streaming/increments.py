@@ -15,11 +15,11 @@ from ..operators.pairs import pair_tables, pair_values
 
 
 def batch_bins(new: DataFrame, old: DataFrame | None, max_dist: int, out_type: int = 1, n_hap: int | None = None) -> DataFrame:
-    """Bins of the pairs with at least one site of `new`."""
-    both = new.withColumn("is_new", F.lit(True))
+    """Bins of the pairs with at least one site of `new`: new with new, new before old and old before new. Pairs of
+    two old sites are never made."""
+    tables = pair_tables(new, max_dist, n_hap)
     if old is not None:
-        both = both.unionByName(old.withColumn("is_new", F.lit(False)))
-    tables = pair_tables(both, max_dist, n_hap, keep=("is_new",)).filter("is_new1 OR is_new2").drop("is_new1", "is_new2")
+        tables = tables.unionByName(pair_tables(new, max_dist, n_hap, behind=old)).unionByName(pair_tables(old, max_dist, n_hap, behind=new))
     return distance_bins(pair_values(tables, out_type), out_type)
 
 

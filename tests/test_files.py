@@ -289,3 +289,56 @@ def test_rebin_command_line(spark, tmp_path):
     assert rebin_cli.main(["-inFile", "x"]) == rebin_cli.main(["-help"]) == 1
     with pytest.raises(ValueError):
         rebin_cli.execute(spark, rebin_cli.parse(["-inFile", f"{tmp_path}/a.stat.gz", "-output", "x", "-method", "HW"]))
+
+
+def test_messages_of_a_run_and_stored_sites(spark, tmp_path):
+    def vcf(name, calls):
+        rows = ["\t".join(["c", str(100 * k + 100), ".", "A", "C", ".", ".", ".", "GT", *c]) for k, c in enumerate(calls)]
+        (tmp_path / name).write_text("\n".join(["#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\t" + "\t".join(f"s{k}" for k in range(len(calls[0]))), *rows]) + "\n")
+        said = []
+        out = execute(spark, parse(["-InVCF", f"{tmp_path}/{name}", "-OutStat", f"{tmp_path}/{name}", "-OutSites", f"{tmp_path}/{name}.sites", "-MaxDist", "1"]), said.append)
+        return "\n".join(said), out
+
+    two = [["0/0", "0/1", "1/1", "0/1"], ["0/1", "0/0", "1/1", "0/1"], ["0/0", "0/1", "0/1", "1/1"]]
+    said, out = vcf("two", two)
+    assert "GT detected" not in said and "3 sites of 1 contigs, 8 haplotypes" in said
+    again = execute(spark, parse(["-InSites", out["sites"], "-OutStat", f"{tmp_path}/again", "-MaxDist", "1"]), print)
+    with gzip.open(out["stat "]) as f, gzip.open(again["stat "]) as g:
+        assert f.read() == g.read()
+    part = execute(spark, parse(["-InSites", out["sites"], "-OutStat", f"{tmp_path}/part", "-MaxDist", "1", "-L", "c:100-200"]), print)
+    with gzip.open(part["stat "], "rt") as f:
+        assert [line.split("\t")[0] for line in f] == ["#Dist", "100"]
+    assert "haploid GT detected in sample s1" in vcf("one", [["0/0", "1", "0", "0/1"], *two[1:]])[0]
+    assert "polyploid GT detected in sample s2" in vcf("three", [["0/0", "0/1", "0/1/1", "0/1"], *two[1:]])[0]
+    with pytest.raises(OptionError):
+        parse(["-InSites", "a", "-InVCF", "b", "-OutStat", "c"])
+
+
+def test_wide_panels_by_blocks(spark, tmp_path):
+    """Above 512 haplotypes bins come from the block kernel and equal those of the pair tables."""
+    import random
+
+    from ldspark.operators import pairs
+
+    r = random.Random(4)
+    names = "\t".join(f"s{k}" for k in range(300))
+    lines = ["#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\t" + names]
+    for k in range(12):
+        lines.append("\t".join(["c", str(50 * k + 10), ".", "A", "C", ".", ".", ".", "GT", *(f"{r.randint(0, 1)}|{r.randint(0, 1)}" if r.random() < 0.9 else ".|." for _ in range(300))]))
+    (tmp_path / "w.vcf").write_text("\n".join(lines) + "\n")
+    cfg = parse(["-InVCF", f"{tmp_path}/w.vcf", "-OutStat", f"{tmp_path}/w", "-MaxDist", "1"])
+    out = execute(spark, cfg, print)
+    found = files.kept(files.read_vcf(spark, f"{tmp_path}/w.vcf", cfg))
+    want = {r["dist"]: r for r in aggregates.distance_bins(pairs.pair_values(pairs.pair_tables(found, 1000, 600), 1), 1).collect()}
+    with gzip.open(out["stat "], "rt") as f:
+        rows = [line.rstrip("\n").split("\t") for line in f][1:]
+    assert {int(x[0]): (x[1], int(x[5])) for x in rows} == {d: (f"{b['mean_rr']:.4f}", b["n"]) for d, b in want.items()}
+
+
+def test_regions_plan_neither_explodes_nor_aggregates(spark):
+    sites = spark.createDataFrame([("", "c", p) for p in (10, 25, 50, 150)], "grp string, contig string, pos long")
+    where = regions.region_frame(spark, [("c", 1, 100, "a"), ("c", 20, 30, "b"), ("c", 20, 22, "d"), ("c", 140, 160, "e")])
+    out = regions.assign(sites, where)
+    assert sorted((r["contig"], r["pos"]) for r in out.collect()) == [("a", 10), ("b", 25), ("e", 150)]
+    assert "Aggregate" not in out._jdf.queryExecution().executedPlan().toString()
+    assert len(regions.assign(sites, where, False).collect()) == 5
