@@ -150,7 +150,11 @@ class Matcher:
         for size, places in found.items():
             items, counts, index = self.sizes[size]
             last = max(0, len(words) - size)
-            starts = np.unique(np.clip(np.concatenate([np.arange(p - size + 1, p + 1) for p in np.unique(places)]), 0, last))
+            # windows that hold a place begin up to size - 1 words before it; of any number of places one array a text
+            at, step = np.unique(places), np.zeros(last + 2, np.int64)
+            np.add.at(step, np.clip(at - size + 1, 0, last), 1)
+            np.add.at(step, np.clip(at, 0, last) + 1, -1)
+            starts = np.flatnonzero(step.cumsum() > 0)
             for part in np.split(starts, range(WINDOWS, len(starts), WINDOWS)):
                 self._search(words, size, part, items, counts, index, best)
         return [(i, s, a, n, d) for i, (s, a, n, d) in sorted(best.items())]
@@ -189,8 +193,9 @@ def item_blocks(benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> list[li
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """A row for each document and item that it contains: doc_id, item_id, similarity (6 decimals),
-    first_word, n_words, distance. Repeated documents give repeated rows; documents without any give
-    none; an empty table on either side gives none."""
+    first_word, n_words, distance. Repeated documents give repeated rows; documents without any, or with null or
+    empty text, give none; an empty table on either side gives none. Ties go to the first window. Texts are read
+    whole; memory is in proportion to the longest one, also where it repeats an item's words throughout."""
     spark = docs.sparkSession
     schema = "doc_id long, item_id long, similarity double, first_word long, n_words long, distance long"
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

@@ -159,6 +159,12 @@ def test_decontamination(spark):
     assert len(decontam.item_blocks(bench, 400)) > 1
 
 
+def test_decontamination_of_a_text_that_repeats_an_item():
+    item = " ".join(VOCABULARY[:30])
+    got = decontam.Matcher([(1, item)]).matches((item + " ") * 1500)
+    assert [(i, s, a, n) for i, s, a, n, _ in got] == [(1, 1.0, 0, 30)]
+
+
 def test_hamming_index_finds_all_within_radius():
     rng = np.random.default_rng(1)
     prints = rng.integers(0, 256, (300, decontam.BLOCKS), np.uint8)
