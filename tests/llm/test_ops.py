@@ -3,6 +3,7 @@ rows, empty tables, more columns."""
 
 import hashlib
 import io
+import itertools
 import math
 import random
 import re
@@ -218,6 +219,81 @@ def test_passages_odd(spark):
     assert {(x["doc_id"], x["src_doc_id"]) for x in hot} == {(2, 1)}
 
 
+def best_local(a: list, b: list) -> tuple[int, int, int, int]:
+    """By brute force: the best local alignment's score, words of a, words of b and matches."""
+    best, above = (0, 0, 0, 0), [(0, 0, 0, 0)] * (len(b) + 1)
+    for x in a:
+        row = [(0, 0, 0, 0)]
+        for j, y in enumerate(b):
+            s, m, n, e = above[j]
+            across = (s + 1, m + 1, n + 1, e + 1) if x == y else (s - passages.ERROR, m + 1, n + 1, e)
+            down, right = above[j + 1], row[j]
+            row.append(max(
+                across, (down[0] - passages.ERROR, down[1] + 1, down[2], down[3]), (right[0] - passages.ERROR, right[1], right[2] + 1, right[3]), (0, 0, 0, 0),
+                key=lambda c: c[0],
+            ))
+        best = max([best, *row], key=lambda c: c[0])
+        above = row
+    return best
+
+
+def reworded(text: str, r: random.Random, edits: int) -> str:
+    """text with so many of its words changed, left out or followed by another."""
+    out = text.split()
+    for k in sorted(r.sample(range(len(out)), edits), reverse=True):
+        out[k : k + 1] = r.choice([[f"new{r.randrange(10**6)}"], [], [out[k], f"new{r.randrange(10**6)}"]])
+    return " ".join(out)
+
+
+def test_extensions_are_the_best():
+    r = random.Random(3)
+    for n in range(120):
+        a = [r.randrange(6 if n % 3 else 500) for _ in range(r.randint(0, 40))]
+        b = [w for w in a if r.random() > 0.1] if n % 2 else [r.randrange(6) for _ in range(r.randint(0, 40))]
+        pieces = passages.extension(np.array(a, np.uint64), np.array(b, np.uint64))
+        got, top, i, j = 0, 0, 0, 0
+        for p, q, same, wrong in pieces:
+            assert same + wrong == max(p, q) and (not same or a[i : i + p] == b[j : j + q])
+            i, j, got = i + p, j + q, got + same - passages.ERROR * wrong
+            top = max(top, got)
+        score = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, j in itertools.product(range(len(a) + 1), range(len(b) + 1)):
+            ways = [0] if not i and not j else []
+            ways += [score[i - 1][j - 1] + (1 if a[i - 1] == b[j - 1] else -passages.ERROR)] if i and j else []
+            ways += [score[i - 1][j] - passages.ERROR] if i else []
+            ways += [score[i][j - 1] - passages.ERROR] if j else []
+            score[i][j] = max(ways)
+        assert top == max(map(max, score))
+
+
+def test_reworded_passages(spark):
+    """Against local alignments of whole documents: rows hold, and passages with a tenth of the words edited are found."""
+    r = random.Random(12)
+    docs = {}
+    for k in range(60):
+        p = prose(r.randint(56, 90), r, 3000)
+        docs[k] = f"{prose(30, r, 3000)} {p} {prose(30, r, 3000)}"
+        docs[100 + k] = f"{prose(30, r, 3000)} {reworded(p, r, len(p.split()) * (k % 3 + 4) // 60)} {prose(30, r, 3000)}"
+    rows = passages.repeated_passages(frame(spark, docs)).collect()
+    assert all(x["doc_id"] == x["src_doc_id"] + 100 for x in rows)
+    found, there = {x["src_doc_id"] for x in rows}, set()
+    for x in rows:
+        a, b = docs[x["doc_id"]].split()[x["start"] : x["end"]], docs[x["src_doc_id"]].split()[x["src_start"] : x["src_end"]]
+        common = [0] * (len(b) + 1)
+        for w in a:
+            row = [0]
+            for j, v in enumerate(b):
+                row.append(common[j] + 1 if w == v else max(common[j + 1], row[j]))
+            common = row
+        assert x["matches"] <= common[-1] and x["similarity"] == round(x["matches"] / max(len(a), len(b)), 6)
+        assert min(len(a), len(b)) >= passages.MIN_WORDS and x["similarity"] >= passages.SIMILARITY
+    for k in range(60):
+        _, m, n, e = best_local(docs[100 + k].split(), docs[k].split())
+        if min(m, n) >= passages.MIN_WORDS and e >= passages.SIMILARITY * max(m, n):
+            there.add(k)
+    assert len(there) >= 45 and len(found & there) >= 0.95 * len(there)
+
+
 def test_chains_are_the_best():
     r = random.Random(1)
     for _ in range(60):
