@@ -53,7 +53,8 @@ def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.classes(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    """Without n_links, which depends on the pairs that happen to be compared; the classes don't."""
+    return neardup.classes(read(spark, sf_dir, "documents").select("doc_id", "text")).drop("n_links")
 
 
 def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,6 +101,27 @@ SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(n_turns AS BIGINT) AS n_turns, s
 FROM each
 """
 
+# Every pair of texts that share a shingle is compared, so this is for small tables only.
+OP8_SQL = r"""
+WITH RECURSIVE doc AS (
+  SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+'), lambda x: x <> '') AS w FROM documents),
+shingle AS (SELECT r, unnest(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda k: array_to_string(w[k : k + 4], ' '))) AS s FROM doc WHERE len(w) > 0),
+tf AS (SELECT r, s, count(*) AS n FROM shingle GROUP BY ALL),
+df AS (SELECT s, ln(1 + (SELECT count(*) FROM documents) / count(*)) AS idf FROM tf GROUP BY s),
+node AS (SELECT w, min(r) AS r FROM doc WHERE len(w) > 0 GROUP BY w),
+part AS (SELECT r, s, n * idf AS weight FROM tf JOIN df USING (s) SEMI JOIN node USING (r)),
+total AS (SELECT r, sum(weight) AS total FROM part GROUP BY r),
+common AS (SELECT a.r AS a, b.r AS b, sum(least(a.weight, b.weight)) AS shared FROM part a JOIN part b ON a.s = b.s AND a.r < b.r GROUP BY ALL),
+link AS (SELECT a, b FROM common JOIN total x ON x.r = a JOIN total y ON y.r = b WHERE shared >= 0.8 * (x.total + y.total - shared)),
+edge AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link UNION ALL SELECT r, r FROM node),
+reach AS (SELECT r AS a, r AS b FROM node UNION SELECT reach.a, edge.b FROM reach JOIN edge ON reach.b = edge.a),
+class AS (SELECT a AS r, min(b) AS c FROM reach GROUP BY a),
+named AS (SELECT doc.r, doc_id, coalesce(c, -doc.r) AS c FROM doc LEFT JOIN node USING (w) LEFT JOIN class ON class.r = node.r)
+SELECT doc_id, min(doc_id) OVER (PARTITION BY c) AS class_id, count(*) OVER (PARTITION BY c) AS class_size,
+  doc_id IS NOT DISTINCT FROM min(doc_id) OVER (PARTITION BY c) AS representative
+FROM named
+"""
+
 
 def queries() -> dict:
     return {
@@ -117,4 +139,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": OP1_SQL, "op5_chat_formatting": OP5_SQL}
+    return {"op1_line_dedup": OP1_SQL, "op5_chat_formatting": OP5_SQL, "op8_near_dedup": OP8_SQL}

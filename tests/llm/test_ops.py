@@ -11,6 +11,7 @@ import wave
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -586,6 +587,16 @@ def test_near_dedup(spark):
     assert out.columns == df.columns and {x["doc_id"] for x in out.collect()} == set(brute_classes(docs).values())
 
 
+def test_near_dedup_query_equals_its_sql(spark):
+    sf = "/root/testdata/sf0.001"
+    got = queries.op8_near_dedup(spark, sf)
+    with duckdb.connect() as con:
+        con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+        want = con.execute(queries.OP8_SQL)
+        assert got.columns == [c[0] for c in want.description]
+        assert sorted(tuple(x) for x in got.collect()) == sorted(want.fetchall())
+
+
 def test_near_dedup_odd(spark):
     rows = neardup.classes(frame(spark, ODD)).collect()
     assert len(rows) == len(ODD)
