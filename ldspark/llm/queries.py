@@ -15,7 +15,8 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontam.find_leaks(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "benchmark"))
+    """Without distance, that of the fingerprints."""
+    return decontam.find_leaks(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "benchmark")).drop("distance")
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,6 +85,26 @@ SELECT d.doc_id, CAST(coalesce(len(all_lines), 0) AS BIGINT) AS n_lines, CAST(co
 FROM doc d LEFT JOIN cut USING (doc_id) LEFT JOIN ends USING (doc_id)
 """
 
+# Every window around a shared shingle is compared with the item, without fingerprints.
+OP2_SQL = r"""
+WITH doc AS (SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex(lower(text), '[\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+'), lambda x: x <> '') AS w FROM documents),
+item AS (SELECT *, least(len(w), 5) AS k FROM (
+  SELECT row_number() OVER () AS i, item_id, list_filter(string_split_regex(lower(text), '[\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+'), lambda x: x <> '') AS w FROM benchmark) WHERE len(w) > 0),
+place AS (SELECT r, k, unnest(range(1, len(w) - k + 2)) AS p, w FROM doc, (SELECT DISTINCT k FROM item) WHERE len(w) >= k),
+own AS (SELECT r, k, p - 1 AS p, array_to_string(w[p : p + k - 1], ' ') AS s FROM place),
+letters AS (SELECT r, k, p, s, length(s) - k + 1 AS weight, sum(length(s) - k + 1) OVER (PARTITION BY r, k ORDER BY p) AS upto FROM own),
+its AS (SELECT i, s, count(*) AS n FROM (SELECT i, array_to_string(w[p : p + k - 1], ' ') AS s FROM (SELECT *, unnest(range(1, len(w) - k + 2)) AS p FROM item)) GROUP BY ALL),
+size AS (SELECT i, item_id, k, len(w) AS words, (SELECT sum(n * (length(s) - k + 1)) FROM its WHERE its.i = item.i) AS weight FROM item),
+hit AS (SELECT l.r, z.i, l.p, l.s, l.weight, its.n, unnest(range(greatest(0, l.p + z.k - z.words), least(l.p, greatest(0, len(d.w) - z.words)) + 1)) AS start
+  FROM letters l JOIN its ON l.s = its.s JOIN size z ON z.i = its.i AND z.k = l.k JOIN doc d ON d.r = l.r),
+common AS (SELECT r, i, start, sum(shared) AS shared FROM (SELECT r, i, start, s, min(weight) * least(count(*), min(n)) AS shared FROM hit GROUP BY r, i, start, s) GROUP BY ALL),
+win AS (SELECT c.r, c.i, start, shared, z.weight + b.upto - a.upto + a.weight - shared AS whole FROM common c JOIN size z ON z.i = c.i JOIN doc d ON d.r = c.r
+  JOIN letters a ON a.r = c.r AND a.k = z.k AND a.p = start JOIN letters b ON b.r = c.r AND b.k = z.k AND b.p = least(start + z.words, len(d.w)) - z.k)
+SELECT doc_id, item_id, round(shared / whole, 6) AS similarity, start AS first_word, CAST(least(z.words, len(d.w)) AS BIGINT) AS n_words
+FROM win JOIN doc d ON d.r = win.r JOIN size z ON z.i = win.i WHERE shared / whole >= 0.8
+QUALIFY row_number() OVER (PARTITION BY win.r, win.i ORDER BY shared / whole DESC, start) = 1
+"""
+
 OP5_SQL = r"""
 WITH rows AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -139,4 +160,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": OP1_SQL, "op5_chat_formatting": OP5_SQL, "op8_near_dedup": OP8_SQL}
+    return {"op1_line_dedup": OP1_SQL, "op2_decontamination": OP2_SQL, "op5_chat_formatting": OP5_SQL, "op8_near_dedup": OP8_SQL}
