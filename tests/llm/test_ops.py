@@ -121,6 +121,25 @@ def test_line_family(spark):
     assert {x["doc_id"]: set(x["removed"]) for x in linededup.line_counts(frame(spark, docs)).collect()} == {d: want[d] for d, _ in docs}
 
 
+def test_line_links_are_all_counted(spark, monkeypatch):
+    """A family by the hundred, whose lines match many others: every link counts, not only that with the earliest line."""
+    monkeypatch.setattr(linededup, "HEAVY", 32)
+    r = random.Random(16)
+    source = " ".join(r.choices(VOCABULARY, k=60))
+    docs = [(d, edited(source, r, r.choice([1, 2, 3]))) for d in range(150)] + [(150, prose(8, r) + "\n" + source), (151, source)]
+    want, seen = Counter(), []
+    for d, text in docs:
+        for line in text.split("\n"):
+            if all(line != other for other, _, _ in seen):
+                s = line_set(line)
+                for _, o, e in seen:
+                    if 5 * len(s & o) >= 4 * len(s | o):
+                        want.update([d, e])
+                seen.append((line, s, d))
+    assert {x["doc_id"]: x["n_links"] for x in linededup.line_counts(frame(spark, docs)).collect()} == {d: want[d] for d, _ in docs}
+    assert sum(want.values()) > 10 * len(docs)
+
+
 # --- 2 decontamination ---------------------------------------------------------------------------------
 
 
