@@ -239,6 +239,17 @@ def test_passages_odd(spark):
     assert {(x["doc_id"], x["src_doc_id"]) for x in hot} == {(2, 1)}
 
 
+def test_passages_whose_seeds_others_had_first(spark):
+    """Two earlier documents hold parts of a passage, each too short; a third one holds it whole."""
+    r, docs = random.Random(21), {}
+    for k in range(40):
+        p = [f"w{k}x{n}" for n in range(60)]
+        for n, part in enumerate((p[:45], p[15:], p, p)):
+            docs[100 * n + k] = f"{prose(40, r, 1000)} {' '.join(part)} {prose(40, r, 1000)}"
+    found = {(x["doc_id"], x["src_doc_id"]) for x in passages.repeated_passages(frame(spark, docs)).collect()}
+    assert {(300 + k, 200 + k) for k in range(40)} <= found
+
+
 def best_local(a: list, b: list) -> tuple[int, int, int, int]:
     """By brute force: the best local alignment's score, words of a, words of b and matches."""
     best, above = (0, 0, 0, 0), [(0, 0, 0, 0)] * (len(b) + 1)
