@@ -13,6 +13,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -250,6 +251,42 @@ def test_passages_whose_seeds_others_had_first(spark):
     assert {(300 + k, 200 + k) for k in range(40)} <= found
 
 
+def test_documents_meet_once_for_a_key():
+    """However often lines repeat, a document has one row for each of its keys, and rows give all pairs of places."""
+    r = random.Random(3)
+    lines = [[f"l{k}x{n}" for n in range(r.randint(12, 30))] for k in range(3)]
+    seeds, want = [], {}
+    for doc in (1, 2):
+        h, at = passages._thinned(words.word_hashes(" ".join(" ".join(r.choice(lines)) for _ in range(60))), passages.K, passages.WINDOW)
+        seeds += [(doc, int(p), int(x)) for p, x in zip(at, h.view(np.int64), strict=True)]
+        here = [(int(p), int(x)) for p, x in zip(at, h, strict=True)]
+        for p, x in here:
+            q, y = next(((q, y) for q, y in here if q >= p + passages.APART), (None, None))
+            if q is not None:
+                want.setdefault((x, y), {1: [], 2: []})[doc].append((p, q))
+    cols = [pa.array([x[0] for x in seeds]), pa.array([x[1] for x in seeds], pa.int32()), pa.array([x[2] for x in seeds]), pa.array([x[0] - 1 for x in seeds])]
+    rows = [x for b in passages._key_rows([pa.RecordBatch.from_arrays(cols, ["doc", "place", "seed", "open"])]) for x in b.to_pylist()]
+    assert len(rows) == len({(x["doc"], x["key"]) for x in rows}) == sum(bool(p) for w in want.values() for p in w.values())
+    of = {d: {x["key"]: np.array([x["place"], x["other"]]).T for x in rows if x["doc"] == d} for d in (1, 2)}
+    assert all(x["open_place"] == (x["place"] if x["doc"] == 2 else []) for x in rows)
+    x, y = passages.all_pairs([(of[2][k], of[1][k]) for k in of[2].keys() & of[1].keys()])
+    assert {*zip(x.tolist(), y.tolist(), strict=True)} == {(p[i], q[i]) for w in want.values() for p in w[2] for q in w[1] for i in (0, 1)}
+
+
+def test_hopeless_stretches_have_no_passage():
+    r, found = random.Random(12), 0
+    for _ in range(300):
+        p = [r.randrange(1 << 60) for _ in range(r.randint(24, 70))]
+        q = [r.randrange(1 << 60) if r.random() < 0.14 else w for w in p]
+        a, b = (np.array([r.randrange(1 << 60) for _ in range(30)] + x + [r.randrange(1 << 60) for _ in range(30)], np.uint64) for x in (p, q))
+        same = [k for k in range(len(a) - 4) if (a[k : k + 5] == b[k : k + 5]).all()]
+        if same and passages.align(a, b, same[:1] + same[-1:], same[:1] + same[-1:]):
+            found += 1
+            assert not passages.hopeless(a, b)
+    assert found > 20
+    assert passages.hopeless(*(np.array([r.randrange(1 << 60) for _ in range(90)], np.uint64) for _ in "ab"))
+
+
 def best_local(a: list, b: list) -> tuple[int, int, int, int]:
     """By brute force: the best local alignment's score, words of a, words of b and matches."""
     best, above = (0, 0, 0, 0), [(0, 0, 0, 0)] * (len(b) + 1)
