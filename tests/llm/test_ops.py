@@ -141,6 +141,24 @@ def test_line_links_are_all_counted(spark, monkeypatch):
     assert sum(want.values()) > 10 * len(docs)
 
 
+def test_line_pairs_are_checked_in_rounds(spark, monkeypatch):
+    """Where sets are too many for one broadcast, no set is sent with a pair, and each link comes once, the earlier line first."""
+    monkeypatch.setattr(linededup, "BROADCAST_TOKENS", 500)
+    r = random.Random(17)
+    sources = [" ".join(r.choices(VOCABULARY, k=40)) for _ in range(2)]
+    docs = [(d, edited(r.choice(sources), r, r.choice([1, 2]))) for d in range(60)]
+    found, sets = linededup.LineJoin(frame(spark, docs), every=True), [line_set(text) for _, text in docs]
+    place = {x["id"]: x["d"] for x in found.classes.collect()}
+    want = {(i, j) for j in range(60) for i in range(j) if docs[i][1] != docs[j][1] and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])}
+    got = [(place[x["i"]], place[x["j"]]) for x in found.links.collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 200
+    plan = []
+    similar = linededup.LineJoin._similar
+    monkeypatch.setattr(linededup.LineJoin, "_similar", lambda *a: plan.append(similar(*a)) or plan[-1])
+    linededup.LineJoin(frame(spark, docs), every=True)
+    assert len(plan) > 2 and all("BroadcastHashJoin" in str(p._jdf.queryExecution().executedPlan()) for p in plan)
+
+
 # --- 2 decontamination ---------------------------------------------------------------------------------
 
 
