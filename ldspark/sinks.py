@@ -1,17 +1,23 @@
-"""Result files. Rows are formatted in Python, where %.4f rounds the binary value as C does, and streamed
-from the ordered DataFrame; a file appears under its name only when it is complete. Pair tables, the one
-result that is large, are also offered as partitioned Parquet."""
+"""Result files. Rows are formatted in Python, where %.4f rounds the binary value as C does; a file appears
+under its name only when it is complete. Small results are streamed from the ordered DataFrame. Pair tables and
+filtered inputs, which are large, are formatted and compressed by the executors as ordered parts in the shared folder, and
+one file of them is the parts one after the other; no row goes through Spark to the driver. Pair tables are also offered as partitioned
+Parquet."""
 
 from __future__ import annotations
 
 import contextlib
 import gzip
 import os
+import uuid
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, Row
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .session import shared_folder, ship
+
 BINS_HEADER = "#Dist\tMean_r^2\tMean_D'\tSum_r^2\tSum_D'\tNumberPairs\n"
 #: Headers and columns of the pair tables by output type.
 PAIR_HEADERS = {3: "#chr\tSite1\tSite2\tr^2\tDist\n", 6: "#chr\tSite1\tSite2\tD'\tr^2\tDist\n", 7: "#chr\tSite1\tSite2\tD'\tLOD\tr^2\tDist\n",
@@ -60,17 +66,57 @@ def write_histogram(hist: DataFrame, path: str, out_type: int, n_hap: int) -> No
             f.write(f"{r['dist']}\t{v}\t{r['n_rr']}" + (f"\t{v}\t{r['n_d']}" if out_type == 4 else "") + "\n")
 
 
-def pair_line(r: Row, out_type: int) -> str:
+def pair_line(r: dict, out_type: int) -> str:
     cols = [f"{r[c] / 100:.2f}" if c in ("low", "high") else f"{r[c]:.4f}" for c in _PAIR_COLUMNS[out_type]]
-    return "\t".join((r["contig"], str(r["p1"]), str(r["p2"]), *cols, str(r["dist"]))) + "\n"
+    return "\t".join((r["contig"], str(r["p1"]), str(r["p2"]), *cols, str(r["dist"])))
+
+
+def pair_lines(values: DataFrame, out_type: int) -> DataFrame:
+    """The lines of a pair table as `value`, in order."""
+    ship(values.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([pair_line(r, out_type) for r in batch.to_pylist()], pa.string())], ["value"])
+
+    return values.select("contig", "p1", "p2", *_PAIR_COLUMNS[out_type], "dist").orderBy("contig", "p1", "p2").mapInArrow(run, "value string")
+
+
+def write_parts(lines: DataFrame, path: str) -> None:
+    """A folder of gzipped text files, ordered by name as lines are, in the folder that driver and executors share."""
+    lines.write.text(path, compression="gzip")
+
+
+def write_one(lines: DataFrame, path: str, head: str = "") -> None:
+    """One gzipped text file: the head and the parts, a gzip member each, which are copied as they are."""
+    spark = lines.sparkSession
+    write_parts(lines, folder := f"{shared_folder(spark)}/parts-{uuid.uuid4().hex}")
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    target, part = os.path.abspath(path), os.path.abspath(f"{path}.part")
+    try:
+        with gzip.open(part, "wb") as f:
+            f.write(head.encode())
+        out = spark._jvm.java.io.FileOutputStream(part, True)
+        try:
+            for p in sorted((s.getPath() for s in fs.listStatus(at) if s.getPath().getName().startswith("part-")), key=lambda p: p.getName()):
+                source = fs.open(p)
+                try:
+                    spark._jvm.org.apache.hadoop.io.IOUtils.copyBytes(source, out, spark._jsc.hadoopConfiguration(), False)
+                finally:
+                    source.close()
+        finally:
+            out.close()
+        os.replace(part, target)
+    finally:
+        fs.delete(at, True)
+        with contextlib.suppress(FileNotFoundError):
+            os.remove(part)
 
 
 def write_pairs(values: DataFrame, path: str, out_type: int) -> None:
     """One ordered text file."""
-    with _file(path) as f:
-        f.write(PAIR_HEADERS[out_type])
-        for r in values.orderBy("contig", "p1", "p2").toLocalIterator():
-            f.write(pair_line(r, out_type))
+    write_one(pair_lines(values, out_type), path, PAIR_HEADERS[out_type])
 
 
 def write_pairs_parquet(values: DataFrame, path: str) -> None:
@@ -89,10 +135,8 @@ def write_ehh(rows: DataFrame, path: str) -> None:
 
 def write_filtered(sites: DataFrame, path: str, header: list[str] = ()) -> None:
     """Input lines of kept sites, as they are and in order; a header makes the file readable again."""
-    with _file(path) as f:
-        f.writelines(h + "\n" for h in header)
-        for r in sites.filter("reason IS NULL").select("seq", "line").distinct().orderBy("seq").toLocalIterator():
-            f.write(r["line"] + "\n")
+    lines = sites.filter("reason IS NULL").select("seq", "line").distinct().orderBy("seq").select(F.col("line").alias("value"))
+    write_one(lines, path, "".join(h + "\n" for h in header))
 
 
 def write_mean_bins(rows: DataFrame, path: str) -> None:

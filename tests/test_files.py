@@ -6,7 +6,7 @@ from genomes import brute_bins, calls, write_genotype, write_plink, write_vcf
 
 from ldspark import cli, sinks
 from ldspark.config import LdConfig, OptionError, parse
-from ldspark.operators import aggregates, blocks, ehh, rebin, regions
+from ldspark.operators import aggregates, blocks, ehh, pairs, rebin, regions
 from ldspark.operators.sites import keep_first, union_inputs
 from ldspark.plans.run import execute
 from ldspark.sources import files, results
@@ -175,6 +175,31 @@ def test_run_writes_the_established_files(spark, tmp_path, rows):
     assert stat.columns == ["pop", "dist", "n", "sum_rr", "sum_d"] and stat.filter("sum_d IS NULL").count() == 0
 
 
+def test_large_files_do_not_pass_the_driver(spark, tmp_path, rows, monkeypatch):
+    """Pair tables and filtered inputs are parts that executors write; one file is the same lines in the same order."""
+    vcf = write_vcf(tmp_path / "a.vcf.gz", rows)
+    parsed = files.read_vcf(spark, vcf, CFG, keep_lines=True)
+    values = pairs.pair_values(pairs.pair_tables(files.kept(parsed), 10_000), 8)
+    found = sorted(values.collect(), key=lambda r: (r["contig"], r["p1"], r["p2"]))
+    lines = ["\t".join((r["contig"], str(r["p1"]), str(r["p2"]), *(f"{r[c]:.4f}" for c in ("d", "lod", "rr")), *(f"{r[c] / 100:.2f}" for c in ("low", "high")), str(r["dist"]))) for r in found]
+    kept = [r["line"] for r in sorted(parsed.filter("reason IS NULL").select("seq", "line").collect())]
+
+    def refused(*_, **__):
+        raise AssertionError("rows are sent to the driver")
+
+    for name in ("toLocalIterator", "collect", "toPandas", "toArrow"):
+        monkeypatch.setattr(type(values), name, refused)
+    sinks.write_pairs(values, str(tmp_path / "a.LD.gz"), 8)
+    sinks.write_pairs(values.filter("false"), str(tmp_path / "none.LD.gz"), 8)
+    sinks.write_filtered(parsed, str(tmp_path / "f.gz"), ["##one", "##two"])
+    monkeypatch.undo()
+    text = lambda name: gzip.open(tmp_path / name, "rt").read()
+    assert text("a.LD.gz") == sinks.PAIR_HEADERS[8] + "".join(x + "\n" for x in lines) and len(lines) > 100
+    assert text("none.LD.gz") == sinks.PAIR_HEADERS[8]
+    assert text("f.gz").splitlines() == ["##one", "##two", *kept] and len(kept) > 10
+    assert spark.read.text(str(tmp_path / "a.LD.gz")).count() == len(lines) + 1  # all gzip members are read
+
+
 def test_mixed_input_keeps_the_vcf_site(spark, tmp_path, rows):
     vcf, geno = write_vcf(tmp_path / "a.vcf", rows[:40]), write_genotype(tmp_path / "a.geno", rows[20:60])
     every = [("", list(range(20)))]
